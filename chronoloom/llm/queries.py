@@ -41,6 +41,12 @@ FROM j
 """
 
 
+def op3_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronoloom.llm import html
+
+    return html.extracted(read(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronoloom.llm import packing
 
@@ -74,6 +80,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.judged(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op9_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronoloom.llm import ann
+
+    return ann.neighbours(read(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0, k=10)
+
+
 def op10_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronoloom.llm import sharding
 
@@ -83,5 +95,5 @@ def op10_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_chat_formatting, op4_best_fit_packing, op5_warc_round_trip, op8_decontamination, op10_two_pass_shuffle)}
+QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_chat_formatting, op3_html_consensus, op4_best_fit_packing, op5_warc_round_trip, op8_decontamination, op9_kmeans_tree, op10_two_pass_shuffle)}
 ORACLE_SQL: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op5_warc_round_trip": OP5_SQL}
