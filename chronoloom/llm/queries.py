@@ -82,6 +82,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op7_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronoloom.llm import neardup
+
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronoloom.llm import decontam
 
@@ -104,5 +110,5 @@ def op10_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_chat_formatting, op3_html_consensus, op4_best_fit_packing, op5_warc_round_trip, op6_toxicity, op8_decontamination, op9_kmeans_tree, op10_two_pass_shuffle)}
+QUERIES = {f.__name__: f for f in (op1_pii_surrogates, op2_chat_formatting, op3_html_consensus, op4_best_fit_packing, op5_warc_round_trip, op6_toxicity, op7_chosen_path, op8_decontamination, op9_kmeans_tree, op10_two_pass_shuffle)}
 ORACLE_SQL: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op5_warc_round_trip": OP5_SQL}
