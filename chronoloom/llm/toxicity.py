@@ -294,18 +294,25 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(w[0], 1e-3)), float(w[1])
 
 
-def sampled(labelled: DataFrame, seed: int = 0) -> list[tuple[str, int]]:
-    """Whole texts and labels of the bounded sample. labelled: doc_id, text, toxic (0 or 1)."""
-    out: list[tuple[str, int]] = []
+def sampled(docs: DataFrame, known: DataFrame, seed: int = 0) -> list[tuple[str, int]]:
+    """Whole texts and labels of the bounded sample. known: _id, toxic (0 or 1) of the rows that may be learned from.
+
+    Ids and lengths are sampled first; only the texts of the sample are read to the driver.
+    """
+    chosen: dict[int, int] = {}
+    sized = docs.filter("text IS NOT NULL").select("doc_id", F.char_length("text").alias("size")).join(known, F.col("doc_id") == F.col("_id"))
     for label in (1, 0):
-        size = 0
-        part = labelled.filter(F.col("toxic") == label).select("doc_id", "text").filter("text IS NOT NULL")
-        for row in part.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "text").limit(SAMPLE).toLocalIterator():
-            if size and size + len(row.text) > SAMPLE_CHARS:
-                break
-            size += len(row.text)
-            out.append((row.text, label))
-    return out
+        left = SAMPLE_CHARS
+        for row in sized.filter(F.col("toxic") == label).select("doc_id", "size").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(SAMPLE).collect():
+            if row.size <= left:
+                left -= row.size
+                chosen[row.doc_id] = label
+    if not chosen:
+        return []
+    ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], "_id long")
+    texts_ = docs.filter("text IS NOT NULL").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"), "left_semi").select("doc_id", "text")
+    found = sorted((row.doc_id, row.text) for row in texts_.toLocalIterator())
+    return [(text, chosen[i]) for i, text in found]
 
 
 def _tops(model: Model, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -369,6 +376,6 @@ def held_out(key):
 
 def fitted(docs: DataFrame, labels: DataFrame, seed: int = 0) -> Model:
     """Trains on the labelled rows of docs that aren't held out."""
-    known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic")).filter(F.col("toxic").isNotNull() & F.col("_id").isNotNull()).dropDuplicates(["_id"])
-    labelled = docs.select("doc_id", "text").filter(~held_out(F.col("doc_id"))).join(known, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")
-    return train(sampled(labelled, seed), seed)
+    known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic")).filter(F.col("toxic").isNotNull() & F.col("_id").isNotNull())
+    known = known.filter(~held_out(F.col("_id"))).groupBy("_id").agg(F.max("toxic").alias("toxic"))
+    return train(sampled(docs.select("doc_id", "text"), known, seed), seed)
