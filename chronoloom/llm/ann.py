@@ -4,8 +4,8 @@ The tree is fitted on a bounded sample; every row is indexed, by descending to t
 level. A query takes tree nodes from a priority queue by the distance of their centres, so its leaves come
 in best-bin-first order; how many it visits is calibrated: brute force answers for a bounded set of queries
 tell at which visit each true neighbour would be met, and the visits widen until the wanted share is met.
-Leaves and queries then meet by leaf number. A leaf with many rows (a very common vector) is dealt over
-several groups, so no group grows with the data.
+Leaves and queries then meet by group: some neighbouring leaves, or a part of a leaf with many rows (a very
+common vector), so no group grows with the data and a query is sent once to each group it visits.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ SAMPLE = 20_000  # vectors the tree is fitted on at most, those with the smalles
 BRANCH = 16
 LEAF = 64  # sampled vectors below which a node isn't split
 CALIBRATION = 200  # queries whose true neighbours are sought by brute force
-RECALL = 0.98
-GROUP_ROWS = 8_192  # rows of a leaf in one group
+RECALL = 0.95
+GROUP_ROWS = 2_048  # rows of neighbouring leaves, or of a part of one leaf, that are searched together
 
 
 class Tree:
@@ -186,46 +186,60 @@ def neighbours(vectors: DataFrame, is_query, k: int = 10, key: str = "vec_id", v
         met = np.array([ranks[r.query_id][r.leaf] for r in truth] or [1])
         while (met <= visits).mean() < recall:  # widen until the calibrated recall is reached
             visits += 1
-    deal = {leaf: -(-n // GROUP_ROWS) for leaf, n in counts.items()}
+    # Groups: the first one of each leaf, and how many it is dealt over.
+    first, shares = np.zeros(tree.n_leaves, np.int64), np.ones(tree.n_leaves, np.int64)
+    group, room = 0, GROUP_ROWS
+    for leaf in range(tree.n_leaves):
+        n = counts.get(leaf, 0)
+        if n > room:
+            group, room = group + (room < GROUP_ROWS), GROUP_ROWS
+        first[leaf], shares[leaf] = group, max(1, -(-n // GROUP_ROWS))
+        if n > GROUP_ROWS:
+            group += int(shares[leaf])
+        else:
+            room -= n
 
     def routed(batches):
         for b in batches:
             out = []
             for i, (own, q) in enumerate(zip(b.column("vec_id").to_pylist(), _matrix(b.column("v")), strict=True)):
-                seen = 0
+                seen, by = 0, {}
                 for n, leaf in enumerate(sent.value.order(q), 1):
-                    out += [(i, own, leaf, s) for s in range(deal.get(leaf, 0))]
+                    for g in range(first[leaf], first[leaf] + shares[leaf]):
+                        by.setdefault(int(g), []).append(leaf)
                     seen += counts.get(leaf, 0)
                     if n >= visits and seen > k:
                         break
-            at = pa.array([o[0] for o in out], pa.int64())
+                out += [(i, own, g, leaves) for g, leaves in by.items()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([o[1] for o in out], pa.int64()), b.column("v").take(at), pa.array([o[2] for o in out], pa.int64()), pa.array([o[3] for o in out], pa.int64())], names=["query_id", "q", "leaf", "part"]
+                [pa.array([o[1] for o in out], pa.int64()), b.column("v").take(pa.array([o[0] for o in out], pa.int64())), pa.array([o[2] for o in out], pa.int64()), pa.array([o[3] for o in out], pa.list_(pa.int64()))],
+                names=["query_id", "q", "part", "leaves"],
             )
 
-    bins = asked.select("vec_id", "v").mapInArrow(routed, "query_id long, q array<double>, leaf long, part long")
-    shares = np.ones(tree.n_leaves, np.uint64)
-    for leaf, n in deal.items():
-        shares[leaf] = n
+    bins = asked.select("vec_id", "v").mapInArrow(routed, "query_id long, q array<double>, part long, leaves array<long>")
 
     def dealt_out(batches):
         for b in batches:
-            ids = b.column("vec_id").to_numpy().astype(np.uint64)
-            part = (ids * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % shares[b.column("leaf").to_numpy()]
-            yield b.append_column("part", pa.array(part.astype(np.int64)))
+            ids, leaf = b.column("vec_id").to_numpy().astype(np.uint64), b.column("leaf").to_numpy()
+            part = first[leaf] + ((ids * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % shares[leaf].astype(np.uint64)).astype(np.int64)
+            yield b.append_column("part", pa.array(part))
 
     dealt = indexed.mapInArrow(dealt_out, T.StructType([*schema.fields, T.StructField("part", T.LongType())]))
 
     def compared(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
             return _table([])
-        left = left.combine_chunks()
-        x = _matrix(right.column("v").combine_chunks())
-        ids, leaf = right.column("vec_id").to_numpy(), right.column("leaf").to_numpy()
+        leaf = right.column("leaf").to_numpy()
+        order = np.argsort(leaf, kind="stable")
+        x, ids, leaf = _matrix(right.column("v").combine_chunks())[order], right.column("vec_id").to_numpy()[order], leaf[order]
         q = _matrix(left.column("q").combine_chunks())
-        return _table(_pairs(list(zip(left.column("query_id").to_pylist(), q, strict=True)), ids, x, leaf, k))
+        out = []
+        for i, (own, leaves) in enumerate(zip(left.column("query_id").to_pylist(), left.column("leaves").to_pylist(), strict=True)):
+            rows = np.concatenate([np.arange(*np.searchsorted(leaf, (n, n + 1))) for n in leaves])
+            out += _pairs([(own, q[i])], ids[rows], x[rows], leaf[rows], k)
+        return _table(out)
 
-    found = bins.groupBy("leaf", "part").cogroup(dealt.groupBy("leaf", "part")).applyInArrow(compared, FOUND)
+    found = bins.groupBy("part").cogroup(dealt.groupBy("part")).applyInArrow(compared, FOUND)
     best = cut(_best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
     dropped(spark, path)
     return best
