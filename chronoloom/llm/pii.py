@@ -44,20 +44,29 @@ GIVEN = {
 _NAMES = [n for by in GIVEN.values() for names in by.values() for n in names]
 _TITLES = "Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora"
 
-# The forms that are looked for, in the order in which they are tried at a place.
+_UPPER = r"(?=[A-ZÀ-ÞΑ-ΩА-ЯЁ])(?<![\p{L}\p{N}])"
+_SECRET = r"(?i:token|secret|password|passwd|api_key|apikey|access_key) {0,2}[=:] {0,2}[\"']?"
+
+# The forms that are looked for, in the order in which they are tried at a place. Each begins
+# with the characters it can start with, so that most places of a text are passed over after one comparison.
 FORMS = {
     "email": r"(?<![\p{L}\p{N}._+-])[\p{L}\p{N}_+-][\p{L}\p{N}._+-]*+@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
-    "ip": r"(?<![\p{L}\p{N}.])\d{1,3}+(?:\.\d{1,3}+){3}(?!\.?\d)",
-    "phone": r"(?<![\p{L}\p{N}])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
-    "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "number": r"(?<![\p{L}\p{N}.])\d(?:[ -]?\d){8,18}(?![\p{L}\p{N}])",
-    "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![\p{L}\p{N}])|(?<=(?i:token|secret|password|passwd|api_key|apikey|access_key) {0,2}[=:] {0,2}[\"']?)(?<![A-Za-z0-9])[A-Za-z0-9+/_-]{8,}+",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}})(?:(?:{_TITLES})\.? )?(?:{'|'.join(_NAMES)})(?: \p{{Lu}}\p{{Ll}}++)(?![\p{{L}}\p{{N}}])|(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}})(?:{_TITLES})\.? \p{{Lu}}\p{{Ll}}++(?![\p{{L}}\p{{N}}])",
+    "ip": r"(?=[0-9])(?<![\p{L}\p{N}.])\d{1,3}+(?:\.\d{1,3}+){3}(?!\.?\d)",
+    "phone": r"(?=[0-9+(])(?<![\p{L}\p{N}])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
+    "ssn": r"(?=[0-9])(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\d-])",
+    "iban": r"(?=[A-Z])(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "number": r"(?=[0-9])(?<![\p{L}\p{N}.])\d(?:[ -]?\d){8,18}(?![\p{L}\p{N}])",
+    "secret": rf"(?=[0-9a-fA-F])(?<![\p{{L}}\p{{N}}])(?:[0-9a-f]{{32,}}+|[0-9A-F]{{32,}}+)(?![\p{{L}}\p{{N}}])|(?=[tspaTSPA])(?<![\p{{L}}\p{{N}}]){_SECRET}[A-Za-z0-9+/_-]{{8,}}+",
+    "name": rf"{_UPPER}(?:(?:(?:{_TITLES})\.? )?(?:{'|'.join(_NAMES)})(?: \p{{Lu}}\p{{Ll}}++)|(?:{_TITLES})\.? \p{{Lu}}\p{{Ll}}++)(?![\p{{L}}\p{{N}}])",
 }
 PATTERN = "|".join(f"(?:{p})" for p in FORMS.values())
 
 
+def suspect(text: Column) -> Column:
+    """A cheap necessary condition: a text without these characters and names holds no entity."""
+    return F.contains(text, F.lit("@")) | text.rlike("[0-9]") | (text.rlike("[=:]") & text.rlike(_SECRET)) | text.rlike(FORMS["name"])
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value worked out once."""
     return F.transform(F.array(value), body)[0]
@@ -66,14 +75,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def kind_of(entity: Column) -> Column:
     out = F.lit("name")
     for kind in reversed([k for k in FORMS if k != "name"]):
-        rule = FORMS[kind] if kind != "secret" else r"[A-Za-z0-9+/_-]{8,}"
+        rule = FORMS[kind]
         out = F.when(F.regexp_like(entity, F.lit(f"^(?:{rule})$")), F.lit(kind)).otherwise(out)
     return out
 
 
 def canonical(kind: Column, entity: Column) -> Column:
     digits = F.regexp_replace(entity, r"\D", "")
-    return F.when(kind.isin("phone", "number", "ssn"), digits).when(kind == "iban", F.replace(entity, F.lit(" "), F.lit(""))).when(kind == "name", F.regexp_replace(F.lower(entity), rf"^(?:{_TITLES.lower()})\.? ", "")).otherwise(F.lower(entity))
+    return F.when(kind.isin("phone", "number", "ssn"), digits).when(kind == "iban", F.replace(entity, F.lit(" "), F.lit(""))).when(kind == "name", F.regexp_replace(F.lower(entity), rf"^(?:{_TITLES.lower()})\.? ", "")).when(kind == "secret", F.lower(F.regexp_replace(entity, f"^{_SECRET}", ""))).otherwise(F.lower(entity))
 
 
 def _stream(key: str, kind: Column, form: Column, attempt: Column) -> Column:
@@ -172,7 +181,7 @@ def surrogate(kind: Column, form: Column, attempt: Column, key: str) -> Column:
 
     def made(stream: Column) -> Column:
         local = F.substring_index(form, "@", 1)
-        host = F.concat(_class_mapped(F.substring_index(F.substring_index(form, "@", -1), ".", 1), stream), F.lit(".example."), F.element_at(F.array(F.lit("com"), F.lit("net"), F.lit("org")), _at(stream, F.lit(61), 3) + 1))
+        host = F.concat(_class_mapped(F.substring_index(F.substring_index(form, "@", -1), ".", 1), F.reverse(stream)), F.lit(".example."), F.element_at(F.array(F.lit("com"), F.lit("net"), F.lit("org")), _at(stream, F.lit(61), 3) + 1))
         return (
             F.when(kind == "email", F.concat(_class_mapped(local, stream), F.lit("@"), host))
             .when(kind == "phone", _digits(form, stream, 1))
@@ -187,20 +196,35 @@ def surrogate(kind: Column, form: Column, attempt: Column, key: str) -> Column:
     return let(_stream(key, kind, form, attempt), made)
 
 
-def _dressed(kind: Column, entity: Column, new: Column) -> Column:
-    """A canonical surrogate in the entity's own format: its punctuation, its title, its case."""
-    spread = F.array_join(
-        F.aggregate(
-            F.split(entity, ""),
-            F.struct(F.lit(0).alias("n"), F.expr("cast(array() as array<string>)").alias("out")),
-            lambda acc, c: F.when(F.regexp_like(c, F.lit("^[0-9A-Z]$")), F.struct((acc["n"] + 1).alias("n"), F.concat(acc["out"], F.array(F.substr(new, acc["n"] + 1, F.lit(1)))).alias("out"))).otherwise(F.struct(acc["n"].alias("n"), F.concat(acc["out"], F.array(c)).alias("out"))),
-            lambda acc: acc["out"],
-        ),
-        "",
-    )
-    title = F.regexp_extract(entity, rf"^((?:{_TITLES})\.? )?", 0)
-    cased = F.when((entity == F.upper(entity)) & (entity != F.lower(entity)), F.upper(new)).when(F.substr(entity, F.lit(1), F.lit(1)) != F.lower(F.substr(entity, F.lit(1), F.lit(1))), F.concat(F.upper(F.substr(new, F.lit(1), F.lit(1))), F.substr(new, F.lit(2), F.char_length(new)))).otherwise(new)
-    return F.when(kind.isin("phone", "number", "ssn", "iban"), spread).when(kind == "name", F.concat(title, F.initcap(new))).otherwise(cased)
+def _cased(entity: Column, new: Column) -> Column:
+    """new in capitals, with a capital or as it is, as entity is written."""
+    first = F.substr(entity, F.lit(1), F.lit(1))
+    return F.when((entity == F.upper(entity)) & (entity != F.lower(entity)), F.upper(new)).when(first != F.lower(first), F.concat(F.upper(F.substr(new, F.lit(1), F.lit(1))), F.substr(new, F.lit(2), F.char_length(new)))).otherwise(new)
+
+
+def _dressed(kind: Column, entity: Column, surrogate_: Column) -> Column:
+    """A canonical surrogate in the entity's own format: its punctuation, its title or key word, its case."""
+
+    def spread(new: Column) -> Column:
+        # The i-th digit or capital of the entity becomes the i-th character of the surrogate.
+        def at(i: Column) -> Column:
+            c = F.substr(entity, i.cast("int"), F.lit(1))
+            return F.when(F.regexp_like(c, F.lit("^[0-9A-Z]$")), F.substr(new, F.char_length(F.regexp_replace(F.substr(entity, F.lit(1), i.cast("int")), "[^0-9A-Z]", "")), F.lit(1))).otherwise(c)
+
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.char_length(entity)), at), "")
+
+    def put(new: Column) -> Column:
+        title = F.regexp_extract(entity, rf"^((?:{_TITLES})\.? )?", 0)
+        prefix = F.regexp_extract(entity, f"^(?:{_SECRET})?", 0)
+        value = F.substr(entity, F.char_length(prefix) + 1, F.char_length(entity))
+        return (
+            F.when(kind.isin("phone", "number", "ssn", "iban"), spread(new))
+            .when(kind == "name", F.concat(title, F.initcap(new)))
+            .when(kind == "secret", F.concat(prefix, _cased(value, new)))
+            .otherwise(_cased(entity, new))
+        )
+
+    return let(surrogate_, put)
 
 
 def entities(text: Column) -> Column:
@@ -210,7 +234,7 @@ def entities(text: Column) -> Column:
 
 def inventory(docs: DataFrame, text: str = "text") -> DataFrame:
     """The distinct entities of docs: kind, form and their number n."""
-    found = docs.filter(F.col(text).rlike(PATTERN)).select(F.explode(entities(F.col(text))).alias("entity"))
+    found = docs.filter(suspect(F.col(text))).select(F.explode(entities(F.col(text))).alias("entity"))
     return found.select(kind_of(F.col("entity")).alias("kind"), "entity").select("kind", canonical(F.col("kind"), F.col("entity")).alias("form")).groupBy("kind", "form").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -239,7 +263,7 @@ def exceptions(known: DataFrame, key: str) -> DataFrame:
     return settled.filter("attempt > 0").select("kind", "form", "attempt")
 
 
-def _rewritten(text: Column, attempts: Column | None, key: str) -> Column:
+def _rewritten(text: Column, found: Column, attempts: Column | None, key: str) -> Column:
     def replaced(entity: Column) -> Column:
         def known(p: Column) -> Column:
             attempt = F.lit(0) if attempts is None else F.coalesce(F.try_element_at(attempts, F.concat_ws("\x1f", p["kind"], p["form"])), F.lit(0))
@@ -247,8 +271,7 @@ def _rewritten(text: Column, attempts: Column | None, key: str) -> Column:
 
         return let(let(kind_of(entity), lambda kind: F.struct(kind.alias("kind"), canonical(kind, entity).alias("form"))), known)
 
-    gaps, found = F.split(text, PATTERN, -1), entities(text)
-    parts = F.zip_with(gaps, F.transform(found, replaced), lambda gap, new: F.concat(gap, F.coalesce(new, F.lit(""))))
+    parts = F.zip_with(F.split(text, PATTERN, -1), F.transform(found, replaced), lambda gap, new: F.concat(gap, F.coalesce(new, F.lit(""))))
     return F.array_join(parts, "")
 
 
@@ -264,7 +287,6 @@ def pseudonymised(docs: DataFrame, key: str = "chronoloom", text: str = "text")
     odd = cut(exceptions(known, key))
     n_odd = odd.count()
     said = F.col(text)
-    hit = said.rlike(PATTERN)
     pair = F.concat_ws("\x1f", "kind", "form")
     attempts: Column | None = None
     out = docs
@@ -274,11 +296,13 @@ def pseudonymised(docs: DataFrame, key: str = "chronoloom", text: str = "text")
     elif n_odd:
         # Each text that holds an exception, by its digest, with the attempts it needs.
         digest = F.sha2(said.cast("binary"), 256)
-        each = docs.filter(hit).select(digest.alias("_of"), F.explode(F.array_distinct(entities(said))).alias("e"))
+        each = docs.filter(suspect(said)).select(digest.alias("_of"), F.explode(F.array_distinct(entities(said))).alias("e"))
         each = each.select("_of", kind_of(F.col("e")).alias("kind"), "e").select("_of", F.col("kind").alias("_k"), canonical(F.col("kind"), F.col("e")).alias("_f")).distinct()
         needs = each.join(odd, (F.col("_k") == F.col("kind")) & (F.col("_f") == F.col("form"))).groupBy("_of").agg(F.map_from_entries(F.collect_set(F.struct(pair, "attempt"))).alias("_attempts"))
         out = docs.join(needs, digest == F.col("_of"), "left").drop("_of")
         attempts = F.col("_attempts")
-    out = out.withColumn("n_entities", F.when(hit, F.size(entities(said))).otherwise(F.lit(0)))
-    out = out.withColumn(text, F.when(hit, _rewritten(said, attempts, key)).otherwise(said))
-    return out.drop("_attempts")
+    nothing = F.expr("cast(array() as array<string>)")
+    out = out.withColumn("_found", F.when(suspect(said), entities(said)).otherwise(nothing))
+    out = out.withColumn("n_entities", F.size("_found"))
+    out = out.withColumn(text, F.when(F.col("n_entities") > 0, _rewritten(said, F.col("_found"), attempts, key)).otherwise(said))
+    return out.drop("_attempts", "_found")
