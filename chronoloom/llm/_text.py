@@ -103,11 +103,11 @@ class Words:
             j = max(i + 1, int(np.searchsorted(self.ends, base + CHUNK, side="right")))
             part = self.data[base : self.ends[j - 1]]
             if len(part) > CHUNK:  # one word longer than a chunk: fold it piece by piece
-                total = U(len(part))
+                total = np.full(1, len(part), dtype=np.uint64)
                 for k in range(0, len(part), CHUNK):
                     piece = _BYTE[part[k : k + CHUNK]]
-                    total = mix(np.array([total * _P + (piece * _POW[: len(piece)]).sum(dtype=np.uint64)]))[0]
-                out[i] = total
+                    total = mix(total * _P + (piece * _POW[: len(piece)]).sum(dtype=np.uint64))
+                out[i] = total[0]
             else:
                 sums = np.zeros(len(part) + 1, dtype=np.uint64)
                 np.cumsum(_BYTE[part] * _POW[: len(part)], out=sums[1:])

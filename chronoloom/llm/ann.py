@@ -167,6 +167,8 @@ def neighbours(vectors: DataFrame, is_query, k: int = 10, key: str = "vec_id", v
     spark = vectors.sparkSession
     rows = usable(vectors, key, vector)
     sample = rows.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(SAMPLE).collect()
+    if not sample:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     tree = Tree(np.array([r.v for r in sample], dtype=np.float64).reshape(len(sample), -1), seed)
     sent = spark.sparkContext.broadcast(tree)
 
