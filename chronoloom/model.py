@@ -1,0 +1,13 @@
+"""Column layouts that operators take and give, as Spark DDL."""
+
+ASSETS = (
+    "asset_id STRING, source STRING, is_url BOOLEAN, title STRING, duration DOUBLE, width INT, height INT, fps DOUBLE, codec STRING, "
+    "has_audio BOOLEAN, size_bytes BIGINT, uploader STRING, manual_subs ARRAY<STRING>, auto_subs ARRAY<STRING>"
+)
+SEGMENTS = "asset_id STRING, seq BIGINT, start_s DOUBLE, end_s DOUBLE, text STRING"
+FRAMES = "asset_id STRING, t DOUBLE, thumb ARRAY<FLOAT>, scene_score DOUBLE, yavg DOUBLE"
+PACKETS = "asset_id STRING, pts DOUBLE, is_key BOOLEAN"
+SPANS = "asset_id STRING, kind STRING, start_s DOUBLE, end_s DOUBLE"
+CUTS = "asset_id STRING, t DOUBLE"
+HIT = "t DOUBLE, kind STRING, severity STRING"
+CANDIDATES = f"asset_id STRING, t DOUBLE, kind STRING, severity STRING, start_s DOUBLE, end_s DOUBLE, hits ARRAY<STRUCT<{HIT.replace(' ', ': ').replace(',:', ',')}>>"

@@ -1,0 +1,17 @@
+"""A session with the settings the library expects."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+
+def session(name: str = "chronoloom", **settings: str) -> SparkSession:
+    """UTC, adaptive execution and ANSI arithmetic; settings override. An existing session is returned as it is."""
+    builder = SparkSession.builder.appName(name)
+    base = {
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.ansi.enabled": "true",
+    }
+    return builder.config(map=base | settings).getOrCreate()
