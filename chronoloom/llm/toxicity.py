@@ -19,6 +19,7 @@ seeded hash: SAMPLE rows of each class at most, and SAMPLE_CHARS characters of e
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,14 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm._text import NOT_SPACE, Words, texts
+from chronoloom.llm._text import NOT_SPACE, Words, shingle_sets, texts
+from chronoloom.llm.neardup import embedding
 
 ORDERS, SPAN, DECAY = (3, 4), 6, 0.5
-LANDMARKS, COST, ROUNDS = 320, 4.0, 3
+LANDMARKS, COST, ROUNDS = 480, 4.0, 4
 SOFT = 8.0
-SAMPLE, SAMPLE_CHARS = 4_000, 24_000_000
+EVIDENCE = 2.0  # how much oftener in other toxic documents a run of a word's letters must stand, as count times log odds
+SAMPLE, SAMPLE_CHARS = 3_000, 12_000_000
 THRESHOLD = 0.3
 LONGEST = 32  # letters of a word scored at once; longer words are scored in overlapping parts
+JOINED = 20  # characters of a string with inner punctuation or digits that is read as one word
 _BITS = 21
 _SHAPES = [(n, offs, DECAY ** (offs[-1] - n + 1)) for n in ORDERS for rest in combinations(range(1, SPAN), n - 1) for offs in [(0, *rest)]]
 _MULT = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F)]
@@ -49,11 +53,11 @@ _NOT_LETTER = re.compile(r"[\W_]+")
 def normal(word: str) -> str:
     """A word as it is scored: lower case, borders stripped, look-alikes inside read as letters."""
     word = word.lower().strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
-    if not word.isalpha():
-        if any(c.isalpha() for c in word):
-            word = word.translate(_ALIKE)
-        word = _NOT_LETTER.sub("", word)
-    return word
+    if word.isalpha():
+        return word
+    if len(word) > JOINED or not any(c.isalpha() for c in word):  # addresses and numbers aren't disguised words
+        return ""
+    return _NOT_LETTER.sub("", word.translate(_ALIKE))
 
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +118,7 @@ class Model:
 def word_list(text: str) -> set[str]:
     """The strings of a text that are scored."""
     raw = [normal(w) for w in text.split()]
-    out = {p for w in raw if len(w) > 1 for p in parts(w)}
+    out = {sys.intern(p) for w in raw if len(w) > 1 for p in parts(w)}  # documents share most of their words
     for run in _single_runs(raw):
         out.update(parts(run))
     return out
@@ -159,7 +163,7 @@ def _landmark_table(marks: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float) -> tuple[np.ndarray, float]:
     """A linear support vector machine with squared hinge loss, by Newton steps; the last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
     w = np.zeros(x.shape[1])
     ridge = np.ones(x.shape[1])
     ridge[-1] = 1e-3
@@ -182,8 +186,15 @@ def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float) -> t
     return w[:-1], float(w[-1])
 
 
-def train_words(positive: list[str], negative: list[str], hard: list[str] = (), seed: int = 0) -> Model:
-    """The kernel machine for two lists of words. hard: negatives, the hardest first; they are the first of the landmarks."""
+def train_words(positive: dict[str, int], negative: dict[str, int], hard: list[str] = (), seed: int = 0) -> Model:
+    """The kernel machine for words and how many documents chose them, and other words and how many hold them.
+
+    A word weighs as the root of its documents, so that neither class's common words are given up for rare ones.
+
+    hard: negatives, the hardest first; they are the first of the landmarks.
+    """
+    counts, others = (np.sqrt(np.array(list(x.values()), dtype=np.float64)) for x in (positive, negative))
+    positive, negative = list(positive), list(negative)
     rng = np.random.default_rng(seed)
     third = LANDMARKS // 3
     pick = lambda words, n: [words[i] for i in sorted(rng.choice(len(words), min(n, len(words)), replace=False))]
@@ -195,15 +206,15 @@ def train_words(positive: list[str], negative: list[str], hard: list[str] = (),
     root = vectors[:, keep] / np.sqrt(values[keep])
     words = positive + negative
     y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-    weight = np.where(y > 0, 3.0, 1.0)
-    x = np.vstack([_kernel_features(words[i : i + 4000], columns, rows) @ root for i in range(0, len(words), 4000)])
+    weight = np.concatenate([3.0 * counts, others])
+    x = np.vstack([(_kernel_features(words[i : i + 500], columns, rows) @ root).astype(np.float32) for i in range(0, len(words), 500)])
     w, bias = _machine(x, y, weight, COST)
     weights = np.zeros(1 << _BITS, dtype=np.float32)
     weights[columns] = rows @ (root @ w)
     return Model(weights, bias)
 
 
-def _first_guess(toxic: list[set[str]], clean: list[set[str]]) -> dict[str, float]:
+def _first_guess(toxic: list[tuple[str, ...]], clean: list[tuple[str, ...]]) -> dict[str, float]:
     """Words of toxic documents by how much more often their best run of five letters stands in other toxic documents."""
 
     def grams(words):
@@ -219,9 +230,23 @@ def _first_guess(toxic: list[set[str]], clean: list[set[str]]) -> dict[str, floa
     return {w: max(gain[g] for g in grams([w])) for words in toxic for w in words}
 
 
+def distinct(documents: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """The documents without later near copies, whose shared words would count as often as they are copied."""
+    seen: dict[int, set[int]] = {0: set(), 1: set()}
+    out = []
+    for text, y in documents:
+        for _, shingles in shingle_sets(pa.array([text], pa.large_string())):
+            marks = embedding(shingles)[:16].astype(np.int64) * 16 + np.arange(16) if len(shingles) else np.zeros(0, np.int64)
+            known = seen[int(y == 1)]
+            if sum(m in known for m in marks.tolist()) < 4:
+                out.append((text, y))
+            known.update(marks.tolist())
+    return out
+
+
 def train(documents: list[tuple[str, int]], seed: int = 0) -> Model:
     """A model from whole texts and their labels; a constant one where a class is missing."""
-    bags = [(word_list(text), y) for text, y in documents]
+    bags = [(tuple(sorted(word_list(text))), y) for text, y in distinct(documents)]
     rng = np.random.default_rng(seed)
     held = rng.random(len(bags)) < 0.2
     toxic = [b for (b, y), h in zip(bags, held, strict=True) if y == 1 and b and not h]
@@ -230,13 +255,14 @@ def train(documents: list[tuple[str, int]], seed: int = 0) -> Model:
     plain = Model(np.zeros(1 << _BITS, dtype=np.float32), 0.0, 0.0, float(np.log(share / (1 - share))))
     if len(toxic) < 2 or not any(clean):
         return plain
-    ordinary = sorted(set().union(*clean))
-    known = set(ordinary)
-    strange = [sorted(b - known) or sorted(b) for b in toxic]
+    known = Counter(w for words in clean for w in words)
+    ordinary = sorted(known)
+    common = [w for w, _ in known.most_common(1_500)]
+    strange = [[w for w in b if w not in known] or list(b) for b in toxic]
     guess = _first_guess(toxic, clean)
     # Each toxic document's words, chosen by a machine that hasn't seen that document, so that words which
     # only happen to stand there aren't learned by heart.
-    chosen = [[w for w in sorted(words, key=lambda w: (-guess[w], w))[:3] if guess[w] > 0] for words in strange]
+    chosen = [[w for w in sorted(words, key=lambda w: (-guess[w], w))[:3] if guess[w] >= EVIDENCE] for words in strange]
     if not any(chosen):
         return plain
     hard: list[str] = []
@@ -249,11 +275,11 @@ def train(documents: list[tuple[str, int]], seed: int = 0) -> Model:
         return [w[:i] + "aeioulrnstxzqwy"[rng.integers(15)] + w[i:] for w in words for i in rng.integers(2, max(3, len(w) - 1), 2).tolist()]
 
     def machine(of: list[list[str]], variants: bool = False) -> Model:
-        best = [w for w, _ in Counter(w for words in of for w in words).most_common(2_000)]
+        best = dict(Counter(w for words in of for w in words).most_common(2_000))
         if variants:
-            best = list(dict.fromkeys(best + [w for w in gapped(best) if w not in known]))
-        easy = [ordinary[i] for i in sorted(rng.choice(len(ordinary), min(4_000, len(ordinary)), replace=False))]
-        return train_words(best, sorted(set(easy) | set(hard)), hard, seed)
+            best = {w: 1 for w in gapped(list(best)) if w not in known} | best
+        easy = [ordinary[i] for i in sorted(rng.choice(len(ordinary), min(3_000, len(ordinary)), replace=False))]
+        return train_words(best, {w: known[w] for w in sorted({*easy, *common, *hard})}, hard, seed)
 
     for _ in range(ROUNDS):
         models = []
@@ -264,16 +290,17 @@ def train(documents: list[tuple[str, int]], seed: int = 0) -> Model:
             flat = sorted({w for words in strange[fold::2] for w in words})
             value = dict(zip(flat, values(model, flat).tolist(), strict=True))
             for i in range(fold, len(strange), 2):
-                chosen[i] = [w for w in sorted(strange[i], key=lambda w: (-value[w], w))[:8] if value[w] > 0.2]
+                chosen[i] = [w for w in sorted(strange[i], key=lambda w: (-value[w], w))[:8] if value[w] > 0.2 and guess[w] >= EVIDENCE]
         if not any(chosen):
             return plain
-        hard = [ordinary[i] for i in np.argsort(-values(models[0], ordinary), kind="stable")[:2_000]]
+        worst = np.maximum(values(models[0], ordinary), values(models[1], ordinary))
+        hard = list(dict.fromkeys([ordinary[i] for i in np.argsort(-worst, kind="stable")[:1_500]] + hard))[:5_000]
     model = machine(chosen, variants=True)
     # The logistic function: on documents kept out, and those trained on where they are too few.
     calibration = [(b, y) for (b, y), h in zip(bags, held, strict=True) if h]
     if len({y for _, y in calibration}) < 2 or sum(y == 1 for _, y in calibration) < 5:
         calibration = bags
-    top = np.array([max(model.margins(sorted(b)), default=-2.0) if b else -2.0 for b, _ in calibration])
+    top = np.array([max(model.margins(list(b)), default=-2.0) if b else -2.0 for b, _ in calibration])
     y = np.array([float(y == 1) for _, y in calibration])
     model.slope, model.offset = _logistic(np.clip(top, -3, 3), y)
     return model
