@@ -10,8 +10,8 @@ of at most LEAF classes is compared exhaustively: by the embedding first (a pair
 put aside), then on full sets. At 0.75 a tree of any depth keeps a pair with probability 0.89 or more, and
 six trees lose it with probability 2e-6.
 
-Large nodes. A node of more classes has one of them, its pivot, compared with all others on full sets, which
-settles the pivot; the rest branch. Classes linked to a pivot carry its label, and a node whose classes all
+Large nodes. A node of more classes has one of them, its pivot, one without a label if there is any, compared
+with all others on full sets, which settles the pivot; the rest branch. Classes linked to a pivot carry its label, and a node whose classes all
 carry one label is connected already and goes no further, so a mass of near copies is settled by a few
 pivots, and no pairs within it are listed. This goes on until no large node is left: nothing is capped.
 
@@ -32,7 +32,8 @@ from chronoloom.llm._shared import cut, dropped, stored
 from chronoloom.llm._text import U, mix, shingle_sets
 
 K = 5
-WIDTH, TREES, BRANCH, LEAF = 64, 6, 2, 1000
+WIDTH, TREES, BRANCH, LEAF = 64, 6, 2, 4000
+BROADCAST_IDS = 1_000_000  # ids by which texts are picked before they are shuffled, at most
 FAR = 30  # equal tokens of WIDTH below which a pair isn't compared on full sets: 5 deviations under 0.75
 LIKE = 75  # percent
 
@@ -171,43 +172,74 @@ def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), pa.array([g.tolist() for g in found], pa.list_(pa.int64()))], names=["name", "members"])
 
 
+def _forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of the likeliest pairs, by the embeddings."""
+    e = np.array([embedding(s) for s in sets])
+    m = len(e)
+    out, done, parent = [], np.zeros(m, dtype=bool), np.zeros(m, dtype=np.int64)
+    best = np.full(m, -1, dtype=np.int16)
+    for _ in range(m):
+        j = int(best.argmax())
+        if best[j] < FAR:  # nothing near is left: another tree begins
+            j = int(np.argmin(done))
+        else:
+            out.append((int(parent[j]), j))
+        done[j] = True
+        near = (e == e[j]).sum(axis=1).astype(np.int16)
+        near[done] = -1
+        best[done] = -1
+        closer = near > best
+        best[closer], parent[closer] = near[closer], j
+    return out
+
+
 def links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """A spanning forest of the links between sets, compared in full."""
+    """A spanning forest of the links between sets, compared in full.
+
+    Likely pairs first: where they are links, most sets are connected by as many comparisons as there are sets.
+    Then every set outside the largest component is compared with all others through an inverted index; two
+    sets of different components can't both be in the largest, so no link is missed.
+    """
     m = len(sets)
     n = np.array([len(s) for s in sets], dtype=np.int64)
+    root = np.arange(m)
+    out: list[tuple[int, int]] = []
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = int(root[i])
+        return i
+
+    def join(i: int, j: int) -> None:
+        a, b = find(i), find(j)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((i, j))
+
+    def linked(both, i, j):
+        return (both > 0) & (100 * both >= LIKE * (n[i] + n[j] - both))
+
     if m == 2:
-        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(0, 1)] if both and 100 * both >= LIKE * (n[0] + n[1] - both) else []
+        if linked(len(np.intersect1d(sets[0], sets[1], assume_unique=True)), 0, 1):
+            join(0, 1)
+        return out
+    if m > 16:
+        for i, j in _forest(sets):
+            if _like(n[i], n[j]) and linked(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), i, j):
+                join(i, j)
     value = np.concatenate(sets)
-    owner = np.repeat(np.arange(m), n)
     order = np.argsort(value, kind="stable")
-    owner, at = owner[order], _bounds(value[order])
-    size = np.diff(at)
-    both = np.zeros((m, m), dtype=np.int32)
-    two = at[:-1][size == 2]
-    np.add.at(both, (owner[two], owner[two + 1]), 1)
-    both += both.T
-    # Shingles that the same sets share are counted together.
-    shared: dict[bytes, int] = {}
-    for a, b in zip(at[:-1][size > 2].tolist(), at[1:][size > 2].tolist(), strict=True):
-        who = owner[a:b].astype(np.int32).tobytes()
-        shared[who] = shared.get(who, 0) + 1
-    for who, times in shared.items():
-        some = np.frombuffer(who, dtype=np.int32)
-        both[np.ix_(some, some)] += times
-    linked = 100 * both.astype(np.int64) >= LIKE * (n[:, None] + n[None, :] - both)
-    np.fill_diagonal(linked, False)
-    out = []
-    todo = linked.any(axis=1)
-    for i in np.flatnonzero(todo).tolist():
-        if todo[i]:
-            stack, todo[i] = [i], False
-            while stack:
-                j = stack.pop()
-                new = np.flatnonzero(linked[j] & todo)
-                todo[new] = False
-                out += [(j, k) for k in new.tolist()]
-                stack += new.tolist()
+    value, owner = value[order], np.repeat(np.arange(m), n)[order]
+    of = np.array([find(i) for i in range(m)])
+    roots, counts = np.unique(of, return_counts=True)
+    for i in np.flatnonzero(of != roots[counts.argmax()]).tolist():
+        lo, hi = np.searchsorted(value, sets[i]), np.searchsorted(value, sets[i], side="right")
+        reach = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange((hi - lo).sum())
+        both = np.bincount(owner[reach], minlength=m)
+        both[i] = 0
+        for j in np.flatnonzero(linked(both, i, slice(None))).tolist():
+            join(i, j)
     return out
 
 
@@ -236,14 +268,34 @@ def _starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["pivot", "rep"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _settle(big: DataFrame, texts: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+def _picked(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts whose doc_id is among ids (a column called rep), picked before any shuffle where ids are few enough to send."""
+    ids = cut(ids.select(F.col("rep").alias("_id")).distinct())
+    few = ids.count() <= BROADCAST_IDS
+    return texts.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("_id"), "left_semi")
+
+
+def _near_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of pivot and member, without those far apart by the embedding or by size."""
+    for b in batches:
+        if b.num_rows:
+            near = (_sigs(b.column("sig")) == _sigs(b.column("pivot_sig"))).sum(axis=1) >= FAR
+            near &= _like(b.column("n_shingles").to_numpy(), b.column("pivot_n").to_numpy())
+            yield b.select(["pivot", "rep"]).filter(pa.array(near))
+
+
+def _settle(big: DataFrame, reps: DataFrame, texts: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
     """Compares the pivot of each large node with its members: (verified links, the other rows with their labels)."""
-    pivots = big.groupBy("key").agg(F.min_by("rep", F.struct(F.xxhash64(F.lit(level), "rep"), "rep")).alias("pivot"))
+    pair = "pivot long, rep long"
+    pivots = big.groupBy("key").agg(F.min_by("rep", F.struct(F.col("label") != F.col("rep"), F.xxhash64(F.lit(level), "rep"), "rep")).alias("pivot"))
     rows = big.join(pivots, "key")
     pairs = rows.filter("rep <> pivot AND label <> pivot").select("pivot", "rep").distinct()
-    # The texts of pivots are few, those of members one for each pair.
+    pivot_of = reps.select(F.col("rep").alias("pivot"), F.col("n_shingles").alias("pivot_n"), F.col("sig").alias("pivot_sig"))
+    pairs = cut(pairs.join(reps, "rep").join(pivot_of, "pivot").mapInArrow(_near_pivot, pair))
+    # What is near has both texts brought together, one pair to a row.
+    texts = _picked(texts, pairs.select("rep").unionByName(pairs.select(F.col("pivot").alias("rep"))))
     both = pairs.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep").join(texts.select(F.col("doc_id").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
-    linked = cut(both.select("pivot", "rep", "text", "pivot_text").sortWithinPartitions("pivot", "rep").mapInArrow(_starred, "pivot long, rep long"))
+    linked = cut(both.select("pivot", "rep", "text", "pivot_text").sortWithinPartitions("pivot", "rep").mapInArrow(_starred, pair))
     rest = rows.filter("rep <> pivot").join(linked.withColumn("hit", F.lit(True)), ["pivot", "rep"], "left")
     rest = rest.select("key", "rep", F.when(F.col("hit"), F.col("pivot")).otherwise(F.col("label")).alias("label"))
     return linked.select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")), cut(rest)
@@ -256,14 +308,16 @@ def verified_links(reps: DataFrame, texts: DataFrame, leaf: int = LEAF) -> tuple
     leaves, found, paths, level = [], [], [], 0
     while True:
         rows, path = stored(rows, f"level{level}")
-        paths.append(path)
         # A node of one class or of one label is done.
-        sizes = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("l1"), F.max("label").alias("l2")).filter("n > 1 AND l1 <> l2").select("key", "n"))
-        leaves.append(rows.join(sizes.filter(F.col("n") <= leaf).select("key"), "key"))
-        large = sizes.filter(F.col("n") > leaf).select("key")
+        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("l1"), F.max("label").alias("l2")).filter("n > 1 AND l1 <> l2").select("key", "n")
+        nodes, kept = stored(rows.join(sizes, "key"), f"nodes{level}")
+        dropped(rows.sparkSession, path)
+        paths.append(kept)
+        leaves.append(nodes.filter(F.col("n") <= leaf).select("key", "rep", "label"))
+        large = nodes.filter(F.col("n") > leaf).select("key", "rep", "label")
         if large.isEmpty():
             break
-        sure, rest = _settle(rows.join(large, "key"), texts, level)
+        sure, rest = _settle(large, reps, texts, level)
         found.append(sure)
         rows = rest.join(reps.select("rep", "sig"), "rep").select("key", "rep", "label", "sig").mapInArrow(_branched, node)
         level += 1
@@ -275,7 +329,7 @@ def verified_links(reps: DataFrame, texts: DataFrame, leaf: int = LEAF) -> tuple
     groups, path = stored(groups.groupBy("name").agg(F.min("members").alias("members")), "groups")
     paths.append(path)
     members = groups.select("name", F.explode("members").alias("rep"))
-    full = members.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep").select("name", "rep", "text")
+    full = members.join(_picked(texts, members).select(F.col("doc_id").alias("rep"), "text"), "rep").select("name", "rep", "text")
     edges = full.repartition("name").sortWithinPartitions("name", "rep").mapInArrow(_verified, "a long, b long")
     for more in found:
         edges = edges.unionByName(more)
