@@ -16,25 +16,35 @@ from pyspark.sql import types as T
 
 CLUSTER = 0.5
 MERGE = 0.25
+SPAN = 120
 SLACK = 1e-9
 
 
 def streamed(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema) -> DataFrame:
-    """df dealt by keys and sorted by keys and order; start() makes the function that takes the batches of a task in turn."""
+    """df sorted by keys and order in partitions that hold whole keys; start() makes the function that takes a task's
+    batches in turn. df comes dealt by its keys, so that windows before this share that one shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = start()
         for b in batches:
             yield step(b)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return df.sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def _chained(points: DataFrame, window: float, time: str) -> DataFrame:
-    """Adds _chain: a time further than window from the one before always anchors, so chains are folded apart."""
-    order = Window.partitionBy("asset_id").orderBy(time)
-    gap = F.col(time) - F.lag(time).over(order)
-    return points.withColumn("_gap", gap).withColumn("_chain", F.sum(F.when(F.col("_gap").isNull() | (F.col("_gap") > window), 1).otherwise(0)).over(order)).drop("_gap")
+    """Adds _chain: rows of one asset between which no cluster passes.
+
+    Times are summed up by spans of SPAN windows. A span that begins over window after the end of the one before
+    must anchor anew, so chains end there, and even one asset of very many times is dealt over tasks. The order of
+    spans, not of times, is what one task sees of an asset.
+    """
+    rows = points.withColumn("_span", F.floor(F.col(time) / (window * SPAN)))
+    spans = rows.groupBy("asset_id", "_span").agg(F.min(time).alias("_lo"), F.max(time).alias("_hi"))
+    order = Window.partitionBy("asset_id").orderBy("_span")
+    far = F.coalesce(F.col("_lo") - F.lag("_hi").over(order) > window, F.lit(True))
+    spans = spans.withColumn("_far", far).select("asset_id", "_span", F.sum(F.col("_far").cast("int")).over(order).alias("_chain"))
+    return rows.join(spans, ["asset_id", "_span"]).drop("_span")
 
 
 def anchored(points: DataFrame, window: float, time: str = "t", ties: list[str] | None = None) -> DataFrame:
@@ -54,7 +64,7 @@ def anchored(points: DataFrame, window: float, time: str = "t", ties: list[str]
 
         return step
 
-    rows = _chained(points.filter(F.col(time).isNotNull()), window, time)
+    rows = _chained(points.filter(F.col(time).isNotNull()), window, time).repartition("asset_id", "_chain")
     schema = T.StructType([*rows.schema.fields, T.StructField("anchor", T.DoubleType())])
     return streamed(rows, ["asset_id", "_chain"], [time, *(ties or [])], start, schema).drop("_chain")
 
@@ -95,7 +105,7 @@ def dedup_frames(frames: DataFrame, threshold: float, side: int, tile: int) -> D
     if "protected" not in frames.columns:
         frames = frames.withColumn("protected", F.lit(False))
     own = Window.partitionBy("asset_id")
-    marked = frames.withColumn("_n", F.count(F.lit(1)).over(own)).withColumn("_last", F.col("t") == F.max("t").over(own)).withColumn("_odd", F.max((F.coalesce(F.size("thumb"), F.lit(-1)) != side * side).cast("int")).over(own))
+    marked = frames.repartition("asset_id").withColumn("_n", F.count(F.lit(1)).over(own)).withColumn("_last", F.col("t") == F.max("t").over(own)).withColumn("_odd", F.max((F.coalesce(F.size("thumb"), F.lit(-1)) != side * side).cast("int")).over(own))
 
     def start():
         state: dict = {"asset": object(), "ref": None}
@@ -151,7 +161,7 @@ def collapse_captions(cues: DataFrame) -> DataFrame:
 
         return step
 
-    rows = cues.filter("text IS NOT NULL").select("asset_id", "seq", "start_s", "end_s", "text")
+    rows = cues.filter("text IS NOT NULL").select("asset_id", "seq", "start_s", "end_s", "text").repartition("asset_id")
     schema = T.StructType([*rows.schema.fields, T.StructField("part", T.LongType()), T.StructField("said", T.StringType())])
     out = streamed(rows, ["asset_id"], ["seq"], start, schema)
     segments = out.groupBy("asset_id", "part").agg(F.min("seq").alias("seq"), F.min_by("start_s", "seq").alias("start_s"), F.max_by("end_s", "seq").alias("end_s"), F.max_by("said", "seq").alias("text"))
