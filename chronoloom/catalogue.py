@@ -583,6 +583,66 @@ def sheet_chunks(spark, sf_dir):
     return series.chunks(B.events(spark, sf_dir), 25, ["t", "event_id"]).select("event_id", "asset_id", "chunk", "slot")
 
 
+@query(f"WITH {EV} SELECT DISTINCT asset_id, round(t, 3) AS t FROM ev WHERE event_type = 'view'")
+def keyframe_times(spark, sf_dir):
+    return detectors.keyframes(B.packets(spark, sf_dir))
+
+
+@query(
+    f"""WITH {SHOTS}, m AS (SELECT asset_id, "index", "start" + ("end" - "start") * 0.5::DOUBLE AS t FROM shots WHERE seconds >= 0.15)
+SELECT m.asset_id, m."index", arg_min(e.event_id, e.t) AS event_id FROM m LEFT JOIN ev e ON e.asset_id = m.asset_id AND e.t >= m.t GROUP BY 1, 2"""
+)
+def shot_representatives(spark, sf_dir):
+    e = B.events(spark, sf_dir)
+    shots = intervals.shots(B.assets(spark, sf_dir), e)
+    return detectors.representatives(shots, e, "event_id").select("asset_id", "index", "event_id")
+
+
+@query(
+    """WITH c AS (SELECT c_custkey, c_acctbal / 50 AS s, CASE WHEN c_custkey % 4 > 0 THEN c_acctbal / 50 + 30 END AS e, c_nationkey * 10.0::DOUBLE AS d FROM customer)
+SELECT c_custkey, round(CASE WHEN d > 0 THEN greatest(0.0, least(s, greatest(0.0, d - 0.1::DOUBLE))) ELSE s END, 6) AS "start", round(CASE WHEN d > 0 THEN least(coalesce(e, d), d) ELSE coalesce(e, s + 60) END, 6) AS "end", coalesce(e, d) - s > 600 AS forced FROM c"""
+)
+def resolve_window(spark, sf_dir):
+    c = B.table(spark, sf_dir, "customer")
+    start, d = F.col("c_acctbal") / 50, F.col("c_nationkey") * 10.0
+    end = F.when(F.col("c_custkey") % 4 > 0, F.col("c_acctbal") / 50 + 30)
+    return c.select("c_custkey", F.round(S.window_start(start, d), 6).alias("start"), F.round(S.window_end(start, end, d), 6).alias("end"), S.needs_force(F.coalesce(end, d) - start).alias("forced"))
+
+
+@query("SELECT p_partkey, CAST(least(5, greatest(1, floor(sqrt(p_size) + 0.999))) AS INTEGER) AS cols, CAST(ceil(p_size / least(5, greatest(1, floor(sqrt(p_size) + 0.999)))) AS INTEGER) AS rows, CAST(greatest(12, least(120, round_even(p_size * 3.0, 0))) AS INTEGER) AS moments FROM part")
+def grid_for(spark, sf_dir):
+    n = F.col("p_size")
+    return B.table(spark, sf_dir, "part").select("p_partkey", S.grid_columns(n).alias("cols"), S.grid_rows(n).alias("rows"), S.moment_count(n * 3.0).alias("moments"))
+
+
+@query(
+    f"""WITH {EV}, n AS (SELECT asset_id, max(t) - min(t) AS span, count(*) AS requested, count(*) FILTER (event_type <> 'error') AS extracted, count(*) FILTER (event_type IN ('view', 'click')) AS kept FROM ev GROUP BY 1)
+SELECT asset_id, requested, extracted, kept, round(span / greatest(1, kept), 6) AS every, span / greatest(1, kept) > 2.0 AS sparse FROM n"""
+)
+def frame_counts(spark, sf_dir):
+    n = B.events(spark, sf_dir).groupBy("asset_id").agg(
+        (F.max("t") - F.min("t")).alias("span"), F.count(F.lit(1)).alias("requested"), F.count(F.when(F.col("event_type") != "error", 1)).alias("extracted"), F.count(F.when(F.col("event_type").isin("view", "click"), 1)).alias("kept")
+    )
+    every = S.coverage_interval(F.col("span"), F.col("kept"))
+    return n.select("asset_id", "requested", "extracted", "kept", F.round(every, 6).alias("every"), (every > 2.0).alias("sparse"))
+
+
+@query(f"WITH {EV}, f AS (SELECT asset_id, min(t) AS t FROM ev WHERE event_type = 'purchase' GROUP BY 1) SELECT asset_id, round(t / 720 * 100, 6) AS percent FROM f")
+def proof_placement(spark, sf_dir):
+    marks = B.events(spark, sf_dir).filter("event_type = 'purchase'")
+    return findings.placement(B.assets(spark, sf_dir), marks).withColumn("percent", F.round("percent", 6))
+
+
+@query(
+    f"""WITH {EV}, b AS (SELECT asset_id, CASE event_type WHEN 'view' THEN true WHEN 'click' THEN true WHEN 'error' THEN false WHEN 'signup' THEN false END AS supported FROM ev)
+SELECT asset_id, count(supported) AS scored, count(*) FILTER (NOT supported) AS unsupported, count(*) FILTER (supported IS NULL) AS unscored, round(count(*) FILTER (NOT supported) / count(*), 6) AS debt FROM b GROUP BY 1"""
+)
+def retention_debt(spark, sf_dir):
+    kind = F.col("event_type")
+    beats = B.events(spark, sf_dir).select("asset_id", F.when(kind.isin("view", "click"), True).when(kind.isin("error", "signup"), False).alias("supported"))
+    return findings.debt(beats).withColumn("debt", F.round("debt", 6))
+
+
 # ---------------------------------------------------------------- prices and budgets
 
 
@@ -657,6 +717,16 @@ ok AS (SELECT *, 540 * least(1.0, 1568 / greatest(544 * cols, (th + 4) * rows))
 SELECT sz.p_partkey, coalesce(r.cols, 2) AS cols, coalesce(r.rows, 2) AS rows FROM sz LEFT JOIN r ON r.p_partkey = sz.p_partkey AND r.n = 1"""
 
 
+@query(
+    f"""WITH {SIZES}, d AS (SELECT *, CAST(p_partkey % 400 AS DOUBLE) AS d FROM sz), n AS (SELECT *, CASE WHEN d <= 0 THEN 1 ELSE CAST(greatest(1, least(100, greatest(12, ceil(d / least(greatest(sqrt(d) / 3, 0.5), 4.0)), ceil({floor_sql(S.FLOOR["wide"])})), greatest(1, ceil(d * 3)))) AS INTEGER) END AS frames FROM d),
+c AS (SELECT *, unnest(range(384, 513, 2)) AS c FROM n), f AS (SELECT p_partkey, any_value(frames) AS frames, any_value(d) AS d, max(c) FILTER ({price('qwen', 'c', high('c'))} * frames <= 20000) AS best FROM c GROUP BY 1)
+SELECT p_partkey, frames, CAST(coalesce(best, 384) AS INTEGER) AS read_width, d > 180 AS needs_force FROM f"""
+)
+def quick_plan(spark, sf_dir):
+    a = B.sizes(spark, sf_dir).withColumn("duration", (F.col("p_partkey") % 400).cast("double"))
+    return pipelines.quick(a, "qwen").select("p_partkey", "frames", F.col("read_width").cast("int").alias("read_width"), "needs_force")
+
+
 @query(LAYOUT)
 def sheet_layout(spark, sf_dir):
     return budget.sheet_layout(B.sizes(spark, sf_dir)).select("p_partkey", "cols", "rows")
@@ -782,6 +852,13 @@ def reading_load(spark, sf_dir):
     return findings.reading_load(cards).select("conv_id", "turn", "units", F.round("load", 6).alias("load"))
 
 
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'shared,paid' WHEN c_custkey % 3 = 1 THEN 'shared,organic' ELSE 'shared' END AS guides FROM customer")
+def intent_guides(spark, sf_dir):
+    m = F.col("c_custkey") % 3
+    c = B.table(spark, sf_dir, "customer")
+    return c.select("c_custkey", F.array_join(S.guides(F.when(m == 0, "paid").when(m == 1, "organic")), ",").alias("guides"))
+
+
 @query()
 def extract_brief(spark, sf_dir):
     """The whole analysis of every timeline as a Markdown brief. SQL can't express it; tests read it."""

@@ -185,3 +185,12 @@ def evidence_end(t: Column, duration: Column) -> Column:
 
 def coverage_interval(seconds: Column, kept: Column) -> Column:
     return seconds / F.greatest(F.lit(1), kept)
+
+
+# The intents that have a guide of their own.
+INTENTS = ("paid", "organic")
+
+
+def guides(intent: Column) -> Column:
+    """The analysis guides for a declared intent: the shared one, and that of the intent where there is one."""
+    return F.array_compact(F.array(F.lit("shared"), F.when(intent.isin(*INTENTS), intent)))

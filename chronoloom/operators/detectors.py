@@ -143,6 +143,14 @@ def content_changes(frames: DataFrame, duration: float, threshold: float, side:
     return scored.filter(F.col("change_score") > threshold).select("asset_id", (F.col("t") * step).alias("t"), "change_score")
 
 
+def representatives(found: DataFrame, frames: DataFrame, column: str = "thumb", least: float = SHOT_LEAST) -> DataFrame:
+    """Shots of at least so long with the frame at their middle: asset_id, index, start_s, end_s, column."""
+    from chronoloom.operators.joins import at_or_after
+
+    middle = found.filter(F.col("seconds") >= least).select("asset_id", "index", F.col("start").alias("start_s"), F.col("end").alias("end_s"), (F.col("start") + (F.col("end") - F.col("start")) * 0.5).alias("t"))
+    return at_or_after(middle, frames, column).drop("t")
+
+
 def duplicate_shots(reps: DataFrame, side: int, tile: int, limit: float = DUPLICATE) -> DataFrame:
     """Shots like an earlier, not neighbouring one. reps: asset_id, index, start_s, end_s, thumb; at least three shots.
 

@@ -61,3 +61,22 @@ def reading_load(cards: DataFrame) -> DataFrame:
     han = F.char_length(F.regexp_replace("text", r"[^\x{4e00}-\x{9fff}]", ""))
     words = F.size(F.filter(F.split(F.regexp_replace("text", r"[\x{4e00}-\x{9fff}]", " "), r"\s+"), lambda w: w != ""))
     return cards.withColumn("units", (han + words).cast("long")).withColumn("load", F.when(F.col("seconds") > 0, F.col("units") / F.col("seconds")))
+
+
+def debt(beats: DataFrame) -> DataFrame:
+    """scored, unsupported, unscored and debt of each asset: the share of all its beats that are known to lack support.
+
+    beats: asset_id, supported (null where a beat wasn't scored). Unscored beats are never a debt, stay in the
+    whole, and are told apart.
+    """
+    return beats.groupBy("asset_id").agg(
+        F.count("supported").alias("scored"),
+        F.count(F.when(~F.col("supported"), 1)).alias("unsupported"),
+        F.count(F.when(F.col("supported").isNull(), 1)).alias("unscored"),
+    ).withColumn("debt", F.col("unsupported") / (F.col("scored") + F.col("unscored")))
+
+
+def placement(assets: DataFrame, marks: DataFrame) -> DataFrame:
+    """asset_id, percent: how far into each asset its first mark (asset_id, t) stands."""
+    first = marks.groupBy("asset_id").agg(F.min("t").alias("t"))
+    return assets.join(first, "asset_id").select("asset_id", F.when(F.col("duration") > 0, F.col("t") / F.col("duration") * 100).alias("percent"))
