@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoloom.operators.joins import latest, protected, spread
+
 MIN_GAP = 2.0
 NEAR_CUT = 0.25
 
@@ -67,15 +69,18 @@ def speech_density(assets: DataFrame, segments: DataFrame) -> DataFrame:
     return assets.join(spoken, "asset_id", "left").select("asset_id", F.when(F.col("duration") > 0, share).otherwise(0.0).alias("density"))
 
 
-def annotate_audio(gaps: DataFrame, silence: DataFrame, assets: DataFrame | None = None) -> DataFrame:
+def annotate_audio(gaps: DataFrame, silence: DataFrame, assets: DataFrame | None = None, width: float = 60.0) -> DataFrame:
     """Adds silent_fraction and audio to gaps. Overlapping silence spans count twice.
 
-    A range join on the asset, whose sums are taken by gap. assets (asset_id, has_audio) marks those without a track.
+    Gaps and spans meet by asset and stretch of time, each pair in the first stretch that both touch, so a long
+    timeline isn't paired with itself. assets (asset_id, has_audio) marks those without a track.
     """
-    spans = silence.select("asset_id", F.col("start_s").alias("s0"), F.col("end_s").alias("s1"))
-    met = gaps.join(spans, (gaps["asset_id"] == spans["asset_id"]) & (F.col("s0") < gaps["end"]) & (F.col("s1") > gaps["start"]), "left").drop(spans["asset_id"])
-    part = F.when(F.col("s0").isNotNull(), F.least("end", "s1") - F.greatest("start", "s0"))
-    out = met.groupBy(*gaps.columns).agg((F.coalesce(F.sum(part), F.lit(0.0)) / F.col("seconds")).alias("silent_fraction"))
+    key = ["asset_id", "start", "end"]
+    spans = spread(silence.select("asset_id", F.col("start_s").alias("s0"), F.col("end_s").alias("s1")), "s0", "s1", width)
+    met = spread(gaps.select(*key), "start", "end", width).join(spans, ["asset_id", "span"])
+    met = met.filter((F.col("s0") < F.col("end")) & (F.col("s1") > F.col("start")) & (F.col("span") == F.floor(F.greatest("start", "s0") / width)))
+    quiet = met.groupBy(*key).agg(F.sum(F.least("end", "s1") - F.greatest("start", "s0")).alias("_quiet"))
+    out = gaps.join(quiet, key, "left").withColumn("silent_fraction", F.coalesce("_quiet", F.lit(0.0)) / F.col("seconds")).drop("_quiet")
     state = F.when(F.col("silent_fraction") >= 0.6, "silent").when(F.col("silent_fraction") >= 0.2, "partly silent").otherwise("audio playing")
     if assets is None:
         return out.withColumn("audio", state)
@@ -85,17 +90,21 @@ def annotate_audio(gaps: DataFrame, silence: DataFrame, assets: DataFrame | None
 
 
 def between_segments(spans: DataFrame, segments: DataFrame) -> DataFrame:
-    """The spans that lie wholly between two neighbouring segments (the neighbour's end, not the farthest)."""
+    """The spans that lie wholly between two neighbouring segments (the neighbour's end, not the farthest).
+
+    Pauses between neighbours don't overlap, so only the last one to begin before a span can hold it.
+    """
     nxt = F.lead("start_s").over(Window.partitionBy("asset_id").orderBy("start_s", "seq"))
-    pauses = segments.withColumn("until", nxt).filter("until IS NOT NULL AND end_s <= until").select(F.col("asset_id").alias("_a"), F.col("end_s").alias("_from"), "until")
-    return spans.join(pauses, (F.col("asset_id") == F.col("_a")) & (F.col("_from") <= F.col("start_s")) & (F.col("end_s") <= F.col("until")), "left_semi")
+    pauses = segments.withColumn("until", nxt).filter("until IS NOT NULL AND end_s <= until").select("asset_id", F.col("end_s").alias("t"), "until")
+    asked = spans.withColumn("_t", F.col("t") if "t" in spans.columns else F.lit(None).cast("double")).withColumn("t", F.col("start_s"))
+    held = latest(asked, pauses, ["until"], "until").filter(F.col("end_s") <= F.col("until")).withColumn("t", F.col("_t"))
+    return held.select(*spans.columns)
 
 
 def suppressed(hits: DataFrame, cuts: DataFrame, segments: DataFrame) -> DataFrame:
     """Adds suppression: why known structure explains a hit, or null. hits: hit_id, asset_id, t, kind, start_s, end_s."""
-    c = cuts.select(F.col("asset_id").alias("_a"), F.col("t").alias("_t"))
-    at_cut = hits.filter("kind = 'luma-spike'").join(c, (F.col("asset_id") == F.col("_a")) & (F.abs(F.col("t") - F.col("_t")) <= NEAR_CUT), "left_semi").select("hit_id", F.lit("confirmed-scene-cut").alias("suppression"))
-    paused = between_segments(hits.filter("kind = 'silence' AND start_s IS NOT NULL AND end_s IS NOT NULL"), segments).select("hit_id", F.lit("between-transcript-segments").alias("suppression"))
+    at_cut = protected(hits.filter("kind = 'luma-spike'").select("hit_id", "asset_id", "t"), cuts, NEAR_CUT, closed=True).filter("protected").select("hit_id", F.lit("confirmed-scene-cut").alias("suppression"))
+    paused = between_segments(hits.filter("kind = 'silence' AND start_s IS NOT NULL AND end_s IS NOT NULL").select("hit_id", "asset_id", "start_s", "end_s"), segments).select("hit_id", F.lit("between-transcript-segments").alias("suppression"))
     return hits.join(at_cut.unionByName(paused), "hit_id", "left")
 
 
