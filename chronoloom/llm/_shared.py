@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,3 +52,13 @@ def cut(df: DataFrame) -> DataFrame:
     """A checkpoint in the shared folder; Spark removes its files once nothing refers to it."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+SENT_IDS = 1_000_000  # ids sent to every executor at most
+
+
+def without(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """docs without the rows whose key is in ids (one column). Where the ids are few enough to send, no row is shuffled."""
+    gone = cut(ids.toDF("_gone").distinct())
+    gone = F.broadcast(gone) if gone.count() <= SENT_IDS else gone
+    return docs.join(gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")

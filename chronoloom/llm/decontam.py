@@ -20,11 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoloom.llm._shared import without
 from chronoloom.llm._text import ALNUM, Words, grams, texts
 
 N = 13
 MAX_WINDOWS = 500_000  # of a broadcast block: at most 500,000 windows of 13 words, some 100 MB
-SCHEMA = "row_key long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+FOUND = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
 FILTER_BITS = 22
 
 
@@ -122,9 +123,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     """
     spark = docs.sparkSession
     parts = []
+    schema = f"row_key {docs.schema[key].dataType.simpleString()}, {FOUND}"
     for windows in blocks(benchmark, max_windows):
         sent = spark.sparkContext.broadcast(windows)
-        parts.append(docs.select(F.col(key).alias("row_key"), text).mapInArrow(_scan(sent), SCHEMA))
+        parts.append(docs.select(F.col(key).alias("row_key"), text).mapInArrow(_scan(sent), schema))
     out = parts[0]
     if len(parts) > 1:
         for more in parts[1:]:
@@ -159,10 +161,9 @@ def judged(found: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without its contaminated documents, or ("spans") with every hit word and what stands between hit words removed."""
     if mode == "documents":
-        bad = judged(scan(docs, benchmark, key, text)).filter("contaminated").select(F.col(key).alias("bad_key")).distinct()
-        return docs.join(bad, F.col(key).eqNullSafe(F.col("bad_key")), "left_anti")
+        return without(docs, judged(scan(docs, benchmark, key, text)).filter("contaminated").select(key), key)
     schema = docs.schema
-    at, key_at = schema.fieldNames().index(text), 0
+    at = schema.fieldNames().index(text)
     parts = docs
     for windows in blocks(benchmark):
         sent = docs.sparkSession.sparkContext.broadcast(windows)

@@ -28,12 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm._shared import cut, dropped, stored
+from chronoloom.llm._shared import SENT_IDS, cut, dropped, stored, without
 from chronoloom.llm._text import U, mix, shingle_sets
 
 K = 5
 WIDTH, TREES, BRANCH, LEAF = 64, 6, 2, 4000
-BROADCAST_IDS = 1_000_000  # ids by which texts are picked before they are shuffled, at most
 FAR = 30  # equal tokens of WIDTH below which a pair isn't compared on full sets: 5 deviations under 0.75
 LIKE = 75  # percent
 
@@ -271,7 +270,7 @@ def _starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _picked(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """The texts whose doc_id is among ids (a column called rep), picked before any shuffle where ids are few enough to send."""
     ids = cut(ids.select(F.col("rep").alias("_id")).distinct())
-    few = ids.count() <= BROADCAST_IDS
+    few = ids.count() <= SENT_IDS
     return texts.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("_id"), "left_semi")
 
 
@@ -380,6 +379,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each component, that of the least id."""
-    kept = near_duplicates(docs, key, text).filter("kept").select(F.col(key).alias("_kept")).distinct()
-    return docs.join(kept, F.col(key).eqNullSafe(F.col("_kept")), "left_semi")
+    """docs with one document of each component, that of the least id. Rows without an id stay."""
+    found = near_duplicates(docs, key, text).filter(F.col(key).isNotNull()).groupBy(key).agg(F.max("kept").alias("kept"))
+    return without(docs, found.filter("NOT kept").select(key), key)

@@ -251,7 +251,7 @@ def train(documents: list[tuple[str, int]], seed: int = 0) -> Model:
     held = rng.random(len(bags)) < 0.2
     toxic = [b for (b, y), h in zip(bags, held, strict=True) if y == 1 and b and not h]
     clean = [b for (b, y), h in zip(bags, held, strict=True) if y != 1 and not h]
-    share = (sum(y == 1 for _, y in bags) + 0.5) / (len(bags) + 1)
+    share = (sum(y == 1 for _, y in bags) + 0.5) / (len(bags) + 5)
     plain = Model(np.zeros(1 << _BITS, dtype=np.float32), 0.0, 0.0, float(np.log(share / (1 - share))))
     if len(toxic) < 2 or not any(clean):
         return plain
@@ -321,25 +321,37 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(w[0], 1e-3)), float(w[1])
 
 
-def sampled(docs: DataFrame, known: DataFrame, seed: int = 0) -> list[tuple[str, int]]:
-    """Whole texts and labels of the bounded sample. known: _id, toxic (0 or 1) of the rows that may be learned from.
+def sampled(docs: DataFrame, known: DataFrame, seed: int = 0) -> DataFrame:
+    """doc_id, text, toxic of the bounded sample. known: _id, toxic (0 or 1) of the rows that may be learned from.
 
-    Ids and lengths are sampled first; only the texts of the sample are read to the driver.
+    Ids and lengths are sampled first; only the texts of the sample are read.
     """
-    chosen: dict[int, int] = {}
+    chosen: list[tuple[int, int]] = []
     sized = docs.filter("text IS NOT NULL").select("doc_id", F.char_length("text").alias("size")).join(known, F.col("doc_id") == F.col("_id"))
     for label in (1, 0):
         left = SAMPLE_CHARS
         for row in sized.filter(F.col("toxic") == label).select("doc_id", "size").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(SAMPLE).collect():
             if row.size <= left:
                 left -= row.size
-                chosen[row.doc_id] = label
-    if not chosen:
-        return []
-    ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], "_id long")
-    texts_ = docs.filter("text IS NOT NULL").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"), "left_semi").select("doc_id", "text")
-    found = sorted((row.doc_id, row.text) for row in texts_.toLocalIterator())
-    return [(text, chosen[i]) for i, text in found]
+                chosen.append((row.doc_id, label))
+    ids = docs.sparkSession.createDataFrame(chosen, "_id long, toxic int").dropDuplicates(["_id"])
+    return docs.filter("text IS NOT NULL").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")
+
+
+TRAINED = "weights binary, bias double, slope double, offset double"
+
+
+def _train_task(seed: int):
+    """Trains on all rows of a partition, the bounded sample, and gives the model as a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        documents: list[tuple[str, int]] = []
+        for b in batches:
+            documents += zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True)
+        m = train(documents, seed)
+        yield pa.RecordBatch.from_arrays([pa.array([m.weights.tobytes()], pa.binary()), pa.array([m.bias]), pa.array([m.slope]), pa.array([m.offset])], names=["weights", "bias", "slope", "offset"])
+
+    return run
 
 
 def _tops(model: Model, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -402,7 +414,11 @@ def held_out(key):
 
 
 def fitted(docs: DataFrame, labels: DataFrame, seed: int = 0) -> Model:
-    """Trains on the labelled rows of docs that aren't held out."""
+    """Trains on the labelled rows of docs that aren't held out, in one task on the bounded sample."""
     known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic")).filter(F.col("toxic").isNotNull() & F.col("_id").isNotNull())
     known = known.filter(~held_out(F.col("_id"))).groupBy("_id").agg(F.max("toxic").alias("toxic"))
-    return train(sampled(docs.select("doc_id", "text"), known, seed), seed)
+    sample = sampled(docs.select("doc_id", "text"), known, seed).repartition(1).sortWithinPartitions("doc_id", "text")
+    row = sample.mapInArrow(_train_task(seed), TRAINED).first()
+    if row is None:  # nothing to learn from
+        return train([], seed)
+    return Model(np.frombuffer(row.weights, dtype=np.float32), row.bias, row.slope, row.offset)

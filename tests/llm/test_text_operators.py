@@ -183,6 +183,16 @@ def test_near_duplicates_without_ids_and_rows(spark):
     assert rows == {(None, None, True), (4, 3, False), (3, 3, True)}
 
 
+@pytest.mark.parametrize("sent", [10**6, 0])
+def test_one_document_of_each_group_stays(spark, monkeypatch, sent):
+    from chronoloom.llm import _shared
+
+    monkeypatch.setattr(_shared, "SENT_IDS", sent)
+    monkeypatch.setattr(neardup, "SENT_IDS", sent)
+    docs = frame(spark, [(1, "a b c d e f"), (2, "A b c d e f"), (5, "other words that stand here"), (None, "a b c d e f"), (7, None), (8, "")])
+    assert sorted(str(r.doc_id) for r in neardup.deduplicated(docs).collect()) == ["1", "5", "7", "8", "None"]
+
+
 def test_links_give_a_spanning_forest():
     rng = np.random.default_rng(3)
     base = np.unique(rng.integers(0, 2**60, 80, dtype=np.uint64))
@@ -240,9 +250,19 @@ def test_toxicity_without_a_class_and_without_rows(spark):
     assert all(r.predicted == 0 for r in toxicity.scored(frame(spark, [(1, "a b"), (2, None)]), model).collect())
 
 
+def test_toxicity_is_fitted_in_a_task(spark):
+    rng = np.random.default_rng(7)
+    said = labelled(rng, 80, True) + labelled(rng, 200, False)
+    docs, labels = frame(spark, [(i, t) for i, (t, _) in enumerate(said)]), spark.createDataFrame([(i, y, "z") for i, (_, y) in enumerate(said)], "doc_id long, toxic int, text string")
+    got = toxicity.scored(docs, toxicity.fitted(docs, labels)).collect()
+    assert sum(r.predicted == said[r.doc_id][1] for r in got) >= 276
+    none = toxicity.fitted(frame(spark, []), spark.createDataFrame([], "doc_id long, toxic int"))
+    assert {r.predicted for r in toxicity.scored(docs, none).collect()} == {0}
+
+
 def test_toxicity_never_learns_from_held_out_rows(spark):
     docs = frame(spark, [(i, f"t{i}") for i in range(40)])
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)] + [(None, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int")
     known = labels.selectExpr("doc_id AS _id", "toxic").filter("toxic IS NOT NULL AND _id IS NOT NULL").filter(~toxicity.held_out(labels["doc_id"]))
-    texts_ = {t for t, _ in toxicity.sampled(docs.select("doc_id", "text"), known)}
+    texts_ = {r.text for r in toxicity.sampled(docs.select("doc_id", "text"), known).collect()}
     assert texts_ == {f"t{i}" for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2}
