@@ -8,6 +8,8 @@ batch is hashed with a few numpy passes and no Python string is made.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -147,3 +149,13 @@ def shingle_sets(column, k: int = 5) -> Iterator[tuple[int, np.ndarray]]:
         for i in range(len(bounds) - 1):
             a, b = words.of[i], words.of[i + 1]
             yield row + i, np.unique(full[a : b - k + 1]) if b - a >= k else shingle_set(words.hashes[a:b], k)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a Python worker lives on after its task, beside the next one's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass

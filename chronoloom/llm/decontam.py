@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.llm._shared import without
-from chronoloom.llm._text import ALNUM, Words, grams, texts
+from chronoloom.llm._text import ALNUM, Words, give_back, grams, texts
 
 N = 13
 MAX_WINDOWS = 500_000  # of a broadcast block: at most 500,000 windows of 13 words, some 100 MB
@@ -86,6 +86,7 @@ def _scan(windows):
                     ],
                     names=["row_key", "n_words", "spans", "items"],
                 )
+        give_back()
 
     return run
 

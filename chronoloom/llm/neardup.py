@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.llm._shared import SENT_IDS, cut, dropped, stored, without
-from chronoloom.llm._text import U, mix, shingle_sets
+from chronoloom.llm._text import U, give_back, mix, shingle_sets
 
 K = 5
 WIDTH, TREES, BRANCH, LEAF = 64, 6, 2, 4000
@@ -62,6 +62,7 @@ def signed(docs: DataFrame, key: str, text: str) -> DataFrame:
                 h2.append(int(mix(s * U(0x9E3779B97F4A7C15) + U(7)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                 sig.append(embedding(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "h1", "h2", "sig"])
+        give_back()
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SIGNED)
 
@@ -169,6 +170,7 @@ def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [g for g in found if len(g) > 1]
         name = [int(mix(mix(g.view(np.uint64)) + np.arange(len(g), dtype=np.uint64)).sum(dtype=np.uint64).view(np.int64)) for g in found]
         yield pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), pa.array([g.tolist() for g in found], pa.list_(pa.int64()))], names=["name", "members"])
+    give_back()
 
 
 def _forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -251,6 +253,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = _bounds(table.column("name").to_numpy())
         out = [(int(rep[i + a]), int(rep[j + a])) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True) for i, j in links(sets[a:b])]
         yield pa.RecordBatch.from_arrays([pa.array([min(e) for e in out], pa.int64()), pa.array([max(e) for e in out], pa.int64())], names=["a", "b"])
+    give_back()
 
 
 def _starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

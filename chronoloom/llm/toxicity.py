@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm._text import NOT_SPACE, Words, shingle_sets, texts
+from chronoloom.llm._text import NOT_SPACE, Words, give_back, shingle_sets, texts
 from chronoloom.llm.neardup import embedding
 
 ORDERS, SPAN, DECAY = (3, 4), 6, 0.5
@@ -349,6 +349,8 @@ def _train_task(seed: int):
         for b in batches:
             documents += zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True)
         m = train(documents, seed)
+        documents.clear()
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array([m.weights.tobytes()], pa.binary()), pa.array([m.bias]), pa.array([m.slope]), pa.array([m.offset])], names=["weights", "bias", "slope", "offset"])
 
     return run
@@ -401,6 +403,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 part = b.slice(row, len(bounds) - 1)
                 score = sent.value.probability(np.clip(_tops(sent.value, data, bounds), -3, 3))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=[*part.schema.names, "score", "predicted"])
+        give_back()
 
     from pyspark.sql import types as T
 
