@@ -14,13 +14,16 @@ is shuffled. Types and what a surrogate keeps:
 Coreference: equal canonical forms (case folded; digits only for numbers) get equal surrogates wherever
 they stand. Distinctness: an inventory of the corpus's distinct entities is checked for two entities with
 one surrogate and for surrogates that are themselves an entity of the corpus; all but the least of such a
-group go to the next attempt, until none is left. Only those few exceptions are looked up when texts are
-rewritten; all other surrogates are computed in place.
+group go to the next attempt, until none is left. From attempt ATTEMPTS on surrogates get longer with each
+attempt, so a form whose space is exhausted is settled too. Names are settled by their surnames, which 'Mr Hu'
+and 'John Hu' share; the given names beside one surname are permuted, so they need no attempts. Only those few
+exceptions are looked up when texts are rewritten; all other surrogates are computed in place.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import gcd
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from chronoloom.llm._shared import cut
 
 INLINE = 500  # exceptions that are written into the plan; more are joined
-ATTEMPTS = 32
+ATTEMPTS = 32  # surrogates of an entity's own length that are tried
 
 # Given names by gender and script.
 GIVEN = {
@@ -163,23 +166,52 @@ def _octets(stream: Column) -> Column:
     return F.concat_ws(".", *[(1 + _at(stream, F.lit(i), 254)).cast("string") for i in (1, 2, 3, 4)])
 
 
-def _person(form: Column, stream: Column, key: str) -> Column:
-    """A folded name: a given name of the same gender and script, and the surname's letters by class."""
-    given = F.when(F.instr(form, " ") > 0, F.substring_index(form, " ", 1)).otherwise(F.lit(""))
-    surname = F.substring_index(form, " ", -1)
+def _surname(name: Column) -> Column:
+    return F.substring_index(name, " ", -1)
+
+
+def _settled_as(kind: Column, form: Column) -> tuple[Column, Column]:
+    """Under which kind and form an entity's attempt is kept: a name under its surname."""
+    return F.when(kind == "name", F.lit("surname")).otherwise(kind), F.when(kind == "name", _surname(form)).otherwise(form)
+
+
+def _given(form: Column, stream: Column) -> Column:
+    """The given name that replaces a folded name's: of the same gender and script, by a permutation that the surname draws."""
+    given = F.substring_index(form, " ", 1)
     new = given
     for by in GIVEN.values():
         for names in by.values():
-            low = F.array(*[F.lit(n.lower()) for n in names])
-            new = F.when(F.array_contains(low, given), F.element_at(low, _at(stream, F.lit(60), len(names)) + 1)).otherwise(new)
-    family = let(_stream(key, F.lit("surname"), surname, F.lit(0)), lambda s: _class_mapped(surname, s))
-    return F.when(given == "", family).otherwise(F.concat(new, F.lit(" "), family))
+            n = len(names)
+            low = F.split(F.lit(" ".join(names).lower()), " ")
+            steps = [str(m) for m in range(1, n) if gcd(m, n) == 1]
+            step = F.element_at(F.split(F.lit(" ".join(steps)), " "), _at(stream, F.lit(1), len(steps)) + 1).cast("int")
+            place = F.pmod((F.array_position(low, given) - 1) * step + _at(stream, F.lit(2), n), F.lit(n))
+            new = F.when(F.array_contains(low, given), F.element_at(low, (place + 1).cast("int"))).otherwise(new)
+    return new
+
+
+def _longer(kind: Column, form: Column, attempt: Column) -> Column:
+    """A form, from attempt ATTEMPTS on with two characters of its classes more for each attempt; an address of four octets can't grow."""
+    more = lambda said: F.repeat(F.lit(said), attempt - (ATTEMPTS - 1))
+    letters = F.when(F.regexp_like(form, F.lit(r"\p{IsCyrillic}")), more("на")).when(F.regexp_like(form, F.lit(r"\p{IsGreek}")), more("να")).otherwise(more("na"))
+    grown = (
+        F.when(kind == "email", F.concat(F.substring_index(form, "@", 1), letters, F.lit("@"), F.substring_index(form, "@", -1)))
+        .when(kind == "number", F.concat(F.substr(form, F.lit(1), F.char_length(form) - 1), more("00"), F.substr(form, F.char_length(form), F.lit(1))))
+        .when(kind.isin("phone", "ssn", "iban"), F.concat(form, more("00")))
+        .when(kind == "secret", F.concat(form, more("a0")))
+        .when(kind == "surname", F.concat(form, letters))
+        .otherwise(form)
+    )
+    return F.when(attempt < ATTEMPTS, form).otherwise(grown)
 
 
 def surrogate(kind: Column, form: Column, attempt: Column, key: str) -> Column:
-    """The replacement of a canonical form, itself in canonical form."""
+    """The replacement of a canonical form, itself in canonical form. The attempt at a name is that at its surname."""
+    settled, own = _settled_as(kind, form)
+    beside = F.when((kind == "name") & (F.instr(form, " ") > 0), F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("given"), own), 256))
 
-    def made(stream: Column) -> Column:
+    def made(p: Column) -> Column:
+        form, stream = p["form"], p["stream"]
         local = F.substring_index(form, "@", 1)
         host = F.concat(_class_mapped(F.substring_index(F.substring_index(form, "@", -1), ".", 1), F.reverse(stream)), F.lit(".example."), F.element_at(F.array(F.lit("com"), F.lit("net"), F.lit("org")), _at(stream, F.lit(61), 3) + 1))
         return (
@@ -190,10 +222,10 @@ def surrogate(kind: Column, form: Column, attempt: Column, key: str) -> Column:
             .when(kind == "ip", _octets(stream))
             .when(kind == "iban", F.concat(F.substr(form, F.lit(1), F.lit(2)), _class_mapped(F.substr(form, F.lit(3), F.char_length(form)), stream)))
             .when(kind == "secret", F.when(F.regexp_like(form, F.lit("^[0-9a-f]+$")), _class_mapped(form, stream, hexadecimal=True)).otherwise(_class_mapped(form, stream)))
-            .otherwise(_person(form, stream, key))
+            .otherwise(F.concat(F.when(p["beside"].isNotNull(), F.concat(_given(p["whole"], p["beside"]), F.lit(" "))).otherwise(F.lit("")), _class_mapped(form, stream)))
         )
 
-    return let(_stream(key, kind, form, attempt), made)
+    return let(F.struct(_longer(settled, own, attempt).alias("form"), _stream(key, settled, own, attempt).alias("stream"), form.alias("whole"), beside.alias("beside")), made)
 
 
 def _cased(entity: Column, new: Column) -> Column:
@@ -211,7 +243,8 @@ def _dressed(kind: Column, entity: Column, surrogate_: Column) -> Column:
             c = F.substr(entity, i.cast("int"), F.lit(1))
             return F.when(F.regexp_like(c, F.lit("^[0-9A-Z]$")), F.substr(new, F.char_length(F.regexp_replace(F.substr(entity, F.lit(1), i.cast("int")), "[^0-9A-Z]", "")), F.lit(1))).otherwise(c)
 
-        return F.array_join(F.transform(F.sequence(F.lit(1), F.char_length(entity)), at), "")
+        spread_out = F.array_join(F.transform(F.sequence(F.lit(1), F.char_length(entity)), at), "")
+        return F.concat(spread_out, F.substr(new, F.char_length(F.regexp_replace(entity, "[^0-9A-Z]", "")) + 1, F.char_length(new)))
 
     def put(new: Column) -> Column:
         title = F.regexp_extract(entity, rf"^((?:{_TITLES})\.? )?", 0)
@@ -239,12 +272,15 @@ def inventory(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def exceptions(known: DataFrame, key: str) -> DataFrame:
-    """The entities whose first surrogate collides: kind, form, attempt (from 1). known: a stored inventory."""
+    """The entities, and surnames instead of names, whose first surrogate collides: kind, form, attempt (from 1). known: a stored inventory."""
+    kind, form = _settled_as(F.col("kind"), F.col("form"))
+    known = cut(known.select(kind.alias("kind"), form.alias("form")).distinct())
     now = known.select("kind", "form", F.lit(0).alias("attempt"))
     taken = known.select(F.col("kind").alias("k"), F.col("form").alias("s"))
-    settled = now.withColumn("new", surrogate(F.col("kind"), F.col("form"), F.col("attempt"), key))
+    new = surrogate(F.col("kind"), F.col("form"), F.col("attempt"), key)  # built once, which takes longer than a round
+    settled = now.withColumn("new", new)
     settled = cut(settled)
-    for attempt in range(1, ATTEMPTS + 1):
+    for attempt in range(1, 2 * ATTEMPTS + 1):
         # Of those that share a surrogate the earliest attempt, then the least form, keeps it; a corpus entity is no surrogate.
         twice = settled.groupBy("kind", "new").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("attempt", "form")).alias("best")).filter("c > 1")
         real = settled.join(taken, (settled["kind"] == taken["k"]) & (settled["new"] == taken["s"]), "left_semi").select("kind", "form")
@@ -256,20 +292,21 @@ def exceptions(known: DataFrame, key: str) -> DataFrame:
         again = cut(lost.unionByName(real).distinct())
         if again.isEmpty():
             break
-        moved = again.withColumn("attempt", F.lit(attempt)).withColumn("new", surrogate(F.col("kind"), F.col("form"), F.lit(attempt), key))
+        moved = again.withColumn("attempt", F.lit(attempt)).withColumn("new", new)
         settled = cut(settled.join(again, ["kind", "form"], "left_anti").unionByName(moved))
     else:
-        raise RuntimeError("surrogates still collide; use a longer form or another key")
+        raise RuntimeError("surrogates still collide; there are more IPv4 addresses than can be replaced")
     return settled.filter("attempt > 0").select("kind", "form", "attempt")
 
 
 def _rewritten(text: Column, found: Column, attempts: Column | None, key: str) -> Column:
     def replaced(entity: Column) -> Column:
-        def known(p: Column) -> Column:
-            attempt = F.lit(0) if attempts is None else F.coalesce(F.try_element_at(attempts, F.concat_ws("\x1f", p["kind"], p["form"])), F.lit(0))
-            return _dressed(p["kind"], entity, surrogate(p["kind"], p["form"], attempt, key))
+        def settled(p: Column) -> Column:
+            attempt = F.lit(0) if attempts is None else F.coalesce(F.try_element_at(attempts, F.concat_ws("\x1f", *_settled_as(p["kind"], p["form"]))), F.lit(0))
+            return F.struct(p["kind"].alias("kind"), p["form"].alias("form"), attempt.alias("attempt"))
 
-        return let(let(kind_of(entity), lambda kind: F.struct(kind.alias("kind"), canonical(kind, entity).alias("form"))), known)
+        each = let(let(kind_of(entity), lambda kind: F.struct(kind.alias("kind"), canonical(kind, entity).alias("form"))), settled)
+        return let(each, lambda p: _dressed(p["kind"], entity, surrogate(p["kind"], p["form"], p["attempt"], key)))
 
     parts = F.zip_with(F.split(text, PATTERN, -1), F.transform(found, replaced), lambda gap, new: F.concat(gap, F.coalesce(new, F.lit(""))))
     return F.array_join(parts, "")
@@ -297,7 +334,9 @@ def pseudonymised(docs: DataFrame, key: str = "chronoloom", text: str = "text")
         # Each text that holds an exception, by its digest, with the attempts it needs.
         digest = F.sha2(said.cast("binary"), 256)
         each = docs.filter(suspect(said)).select(digest.alias("_of"), F.explode(F.array_distinct(entities(said))).alias("e"))
-        each = each.select("_of", kind_of(F.col("e")).alias("kind"), "e").select("_of", F.col("kind").alias("_k"), canonical(F.col("kind"), F.col("e")).alias("_f")).distinct()
+        each = each.select("_of", kind_of(F.col("e")).alias("kind"), "e").select("_of", "kind", canonical(F.col("kind"), F.col("e")).alias("form"))
+        kind, form = _settled_as(F.col("kind"), F.col("form"))
+        each = each.select("_of", kind.alias("_k"), form.alias("_f")).distinct()
         needs = each.join(odd, (F.col("_k") == F.col("kind")) & (F.col("_f") == F.col("form"))).groupBy("_of").agg(F.map_from_entries(F.collect_set(F.struct(pair, "attempt"))).alias("_attempts"))
         out = docs.join(needs, digest == F.col("_of"), "left").drop("_of")
         attempts = F.col("_attempts")

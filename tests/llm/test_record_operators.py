@@ -73,6 +73,28 @@ def test_pii_surrogates_stay_distinct(spark, monkeypatch, inline):
     assert len(set(out)) == 25 and out[:25] == out[25:] and not set(out) & set(said)
 
 
+@pytest.mark.parametrize("inline", [500, 0])
+def test_pii_short_surnames_are_settled(spark, monkeypatch, inline):
+    # With key 2024-01 the first surrogates of Hu and Le, and of Tao and Yao, are one, and Gu maps to itself; 8 dashes and Ōő always do.
+    monkeypatch.setattr(pii, "INLINE", inline)
+    monkeypatch.setattr(pii, "ATTEMPTS", 4)
+    said = ["Mr Gu", "Mr Hu", "Dr Le", "Dr Tao", "Ms Yao", "John Hu", "Anna Hu", "Mr Ōő", "password=--------"]
+    out, _ = replaced(spark, said, key="2024-01")
+    last = [t.split(" ")[-1] for t in out[:8]]
+    assert len(set(out)) == 9 and last[1] == last[5] == last[6] and len(set(last)) == 6
+    assert not set(last) & {"Gu", "Hu", "Le", "Tao", "Yao", "Ōő"} and out[8] not in said
+
+
+def test_pii_exhausted_forms_get_longer(spark, monkeypatch):
+    # 60 of the 105 surnames of a consonant and a vowel can't all be replaced by the 45 others; one surname stands with all given names.
+    monkeypatch.setattr(pii, "ATTEMPTS", 3)
+    given = pii.GIVEN["f"]["latin"]
+    said = [f"Mr {a}{b}" for a in "BCDFGHJKLMNP" for b in "aeiou"] + [f"{g} Hu" for g in given]
+    out, _ = replaced(spark, said)
+    assert len(set(out)) == len(said) and not set(out) & set(said)
+    assert {t.split(" ")[0] for t in out[60 : 60 + len(given)]} == set(given)
+
+
 def test_pii_of_an_empty_table(spark):
     assert replaced(spark, []) == ([], [])
 
