@@ -54,11 +54,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of df is called so, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 SENT_IDS = 1_000_000  # ids sent to every executor at most
 
 
 def without(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """docs without the rows whose key is in ids (one column). Where the ids are few enough to send, no row is shuffled."""
-    gone = cut(ids.toDF("_gone").distinct())
+    (name,) = fresh(docs, "_gone")
+    gone = cut(ids.toDF(name).distinct())
     gone = F.broadcast(gone) if gone.count() <= SENT_IDS else gone
-    return docs.join(gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.join(gone, F.col(key).eqNullSafe(F.col(name)), "left_anti")

@@ -2,8 +2,9 @@
 
 Training texts are cut into words, the hash of every window of consecutive words is looked up
 in the set of benchmark windows, and a hit counts only after the words themselves are compared.
-The benchmark is broadcast in blocks of at most MAX_WINDOWS windows, one pass over the documents
-for each block, so that what is sent is bounded however large the benchmark is.
+The benchmark is broadcast in blocks of at most MAX_WINDOWS windows, one job over the documents for
+each block, so that what is sent and held is bounded however large the benchmark is; with several
+blocks each row has a number of its own, by which its hits are brought together.
 
 Words: A-Z folded, runs of [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]. A window is N consecutive words of
 an item; an item of fewer words is one window; an item without words has none.
@@ -14,13 +15,14 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm._shared import without
+from chronoloom.llm._shared import cut, dropped, fresh, stored, without
 from chronoloom.llm._text import ALNUM, Words, give_back, grams, texts
 
 N = 13
@@ -29,19 +31,12 @@ FOUND = "n_words long, spans array<struct<start:long,end:long>>, items array<str
 FILTER_BITS = 22
 
 
-def _items(rows: Iterator) -> dict[int, dict[int, list]]:
-    """{window length: {hash: [(words, [item ids])]}}."""
-    out: dict[int, dict[int, dict]] = defaultdict(lambda: defaultdict(dict))
-    for item_id, text in rows:
-        for _, data, bounds in texts(pa.array([text], pa.large_string())):
-            words = Words(data, bounds, ALNUM)
-            n = len(words.hashes)
-            if n == 0:
-                continue
-            k = min(N, n)
-            for at, h in enumerate(grams(words.hashes, k).tolist()):
-                out[k][h].setdefault(words.text(at, at + k), set()).add(str(item_id))
-    return {k: {h: [(w, sorted(ids)) for w, ids in same.items()] for h, same in by.items()} for k, by in out.items()}
+def _windows(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """(length, hash, words) of each window of one item."""
+    words = Words(data, bounds, ALNUM)
+    k = min(N, len(words.hashes))
+    for at, h in enumerate(grams(words.hashes, k).tolist() if k else ()):
+        yield k, h, words.text(at, at + k)
 
 
 class _Set:
@@ -62,29 +57,34 @@ class _Set:
                     yield at, ids
 
 
+def _hits(sets: dict[int, _Set], words: Words) -> Iterator[tuple[int, int, int, list]]:
+    """(document, first word, word behind the last, item ids) of each verified window; words count over all documents."""
+    for k, known in sets.items():
+        for at, ids in known.hits(words, k):
+            yield int(np.searchsorted(words.of, at, side="right")) - 1, at, at + k, ids
+
+
 def _scan(windows):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = {k: _Set(by) for k, by in windows.value.items()}
         for batch in batches:
-            keys = batch.column(0)
-            for row, data, bounds in texts(batch.column(1)):
+            for row, data, bounds in texts(batch.column(batch.num_columns - 1)):
                 words = Words(data, bounds, ALNUM)
                 n_docs = len(bounds) - 1
                 spans: dict[int, list] = defaultdict(list)
                 items: dict[int, set] = defaultdict(set)
-                for k, known in sets.items():
-                    for at, ids in known.hits(words, k):
-                        doc = int(np.searchsorted(words.of, at, side="right")) - 1
-                        spans[doc].append((at - int(words.of[doc]), at - int(words.of[doc]) + k))
-                        items[doc].update(ids)
+                for doc, a, b, ids in _hits(sets, words):
+                    spans[doc].append((a - int(words.of[doc]), b - int(words.of[doc])))
+                    items[doc].update(ids)
+                kept = batch.slice(row, n_docs)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        keys.slice(row, n_docs),
+                        *kept.columns[:-1],
                         pa.array(np.diff(words.of).astype(np.int64)),
                         pa.array([[{"start": a, "end": b} for a, b in merged(spans.get(d, ()))] for d in range(n_docs)], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                         pa.array([sorted(items.get(d, ())) for d in range(n_docs)], pa.list_(pa.string())),
                     ],
-                    names=["row_key", "n_words", "spans", "items"],
+                    names=[*kept.schema.names[:-1], "n_words", "spans", "items"],
                 )
         give_back()
 
@@ -102,40 +102,78 @@ def merged(spans) -> list[tuple[int, int]]:
     return out
 
 
-def blocks(benchmark: DataFrame, max_windows: int = MAX_WINDOWS) -> Iterator[dict]:
-    """The benchmark's windows, in blocks that bound what is broadcast. Items stream through the driver one at a time."""
-    part, n = [], 0
+def blocks(benchmark: DataFrame, max_windows: int = MAX_WINDOWS) -> Iterator[dict[int, dict[int, list]]]:
+    """The benchmark's windows, {length: {hash: [(words, [item ids])]}}, at most max_windows to a block.
+
+    Items stream through the driver one at a time, and one of more windows is spread over blocks. There is at
+    least one block.
+    """
+    part: dict[int, dict[int, dict]] = defaultdict(lambda: defaultdict(dict))
+    n = 0
+
+    def block():
+        return {k: {h: [(w, sorted(ids)) for w, ids in same.items()] for h, same in by.items()} for k, by in part.items()}
+
     for row in benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).toLocalIterator():
-        size = max(1, len(row.text) // 2)  # windows at most
-        if part and n + size > max_windows:
-            yield _items(part)
-            part, n = [], 0
-        part.append((row.item_id, row.text))
-        n += size
-    yield _items(part)
+        for _, data, bounds in texts(pa.array([row.text], pa.large_string())):
+            for k, h, said in _windows(data, bounds):
+                if n == max_windows:
+                    yield block()
+                    part.clear()
+                    n = 0
+                part[k][h].setdefault(said, set()).add(str(row.item_id))
+                n += 1
+    yield block()
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs written with a number of its own for each row: (table, that column's name, path)."""
+    (row,) = fresh(docs, "_row")
+    kept, path = stored(docs.withColumn(row, F.monotonically_increasing_id()), "decontam")
+    return kept, row, path
+
+
+def _found(rows: DataFrame, keys: list[str], text: str, first: dict, more: Iterator[dict]) -> DataFrame:
+    """keys, n_words, spans and items of each row. With several blocks keys[0] tells all rows apart.
+
+    Blocks are looked up one after another, each in a job of its own, so that executors hold one at a time.
+    """
+    schema = ", ".join(f"k{i} {rows.schema[k].dataType.simpleString()}" for i, k in enumerate(keys)) + ", " + FOUND
+    given = rows.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(text).alias("text"))
+    out = given.mapInArrow(_scan(rows.sparkSession.sparkContext.broadcast(first)), schema)
+    following = next(more, None)
+    if following is not None:
+        out = cut(out)
+        while following is not None:
+            sent = rows.sparkSession.sparkContext.broadcast(following)
+            out = out.unionByName(cut(given.mapInArrow(_scan(sent), schema).filter(F.size("spans") > 0)))
+            sent.unpersist()
+            following = next(more, None)
+        out = out.groupBy("k0").agg(
+            *[F.first(f"k{i}").alias(f"k{i}") for i in range(1, len(keys))],
+            F.max("n_words").alias("n_words"),
+            _union(F.flatten(F.collect_list("spans"))).alias("spans"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        )
+    return out
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", max_windows: int = MAX_WINDOWS) -> DataFrame:
     """One row per row of docs: key, n_words, spans (merged word ranges inside benchmark windows), items.
 
-    Null or empty texts and items have no words, hence no hits. Rows are told apart by the key, so a
-    repeated key yields a row for each of its rows (with several blocks: rows of one key are joined into
-    one, with all their hits). Null item ids are named "None". Extra columns of either table are unread.
+    Null or empty texts and items have no words, hence no hits. Rows that repeat a key, or have none, are each
+    judged by their own text, whatever the number of blocks. Null item ids are named "None". Extra columns of
+    either table are unread. An empty table gives an empty one.
     """
-    spark = docs.sparkSession
-    parts = []
-    schema = f"row_key {docs.schema[key].dataType.simpleString()}, {FOUND}"
-    for windows in blocks(benchmark, max_windows):
-        sent = spark.sparkContext.broadcast(windows)
-        parts.append(docs.select(F.col(key).alias("row_key"), text).mapInArrow(_scan(sent), schema))
-    out = parts[0]
-    if len(parts) > 1:
-        for more in parts[1:]:
-            out = out.unionByName(more)
-        out = out.groupBy("row_key").agg(
-            F.max("n_words").alias("n_words"), _union(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
-        )
-    return out.withColumnRenamed("row_key", key)
+    docs = docs.select(F.col(key).alias("row_key"), F.col(text).alias("text"))
+    more = blocks(benchmark, max_windows)
+    first, second = next(more), next(more, None)
+    if second is None:
+        return _found(docs, ["row_key"], "text", first, iter(())).withColumnRenamed("k0", key)
+    rows, row, path = _numbered(docs)
+    out = cut(_found(rows, [row, "row_key"], "text", first, chain([second], more)))
+    dropped(docs.sparkSession, path)
+    return out.drop("k0").withColumnRenamed("k1", key)
 
 
 def _union(spans):
@@ -159,41 +197,56 @@ def judged(found: DataFrame) -> DataFrame:
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without its contaminated documents, or ("spans") with every hit word and what stands between hit words removed."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", key: str = "doc_id", text: str = "text", max_windows: int = MAX_WINDOWS) -> DataFrame:
+    """docs without its contaminated documents, or ("spans") with every hit word and what stands between hit words removed.
+
+    All columns are kept, those of any name, and null texts stay null. "documents" drops a contaminated row's
+    key, so rows that share a key go together. Spans of all blocks are found in the text as it was, then cut once.
+    """
     if mode == "documents":
-        return without(docs, judged(scan(docs, benchmark, key, text)).filter("contaminated").select(key), key)
-    schema = docs.schema
-    at = schema.fieldNames().index(text)
-    parts = docs
-    for windows in blocks(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(windows)
-        parts = parts.mapInArrow(_cut_spans(sent, at), schema)
-    return parts
+        return without(docs, judged(scan(docs, benchmark, key, text, max_windows)).filter("contaminated").select(key), key)
+    more = blocks(benchmark, max_windows)
+    first, second = next(more), next(more, None)
+    at = docs.columns.index(text)
+    if second is None:
+        sent = docs.sparkSession.sparkContext.broadcast(first)
+        return docs.mapInArrow(_cut_spans(at, sent), docs.schema)
+    rows, row, _ = _numbered(docs)
+    (spans,) = fresh(rows, "_spans")
+    found = cut(_found(rows, [row], text, first, chain([second], more)).filter(F.size("spans") > 0).select(F.col("k0").alias(row), F.col("spans").alias(spans)))
+    found = F.broadcast(found) if found.count() <= SENT_SPANS else found
+    return rows.join(found, row, "left").select(*docs.columns, spans).mapInArrow(_cut_spans(at), docs.schema)
+
+
+SENT_SPANS = 100_000  # rows with spans sent to every executor at most
 
 
-def _cut_spans(windows, at: int):
+def _cut_spans(at: int, windows=None):
+    """Cuts the spans of the given windows, or those that the last column names."""
+
     def run(batches):
-        sets = {k: _Set(by) for k, by in windows.value.items()}
+        sets = {k: _Set(by) for k, by in windows.value.items()} if windows is not None else {}
         for batch in batches:
             kept = []
-            for _row, data, bounds in texts(batch.column(at)):
+            for row, data, bounds in texts(batch.column(at)):
                 words = Words(data, bounds, ALNUM)
                 spans = defaultdict(list)
-                for k, known in sets.items():
-                    for first, _ in known.hits(words, k):
-                        spans[int(np.searchsorted(words.of, first, side="right")) - 1].append((int(words.starts[first]), int(words.ends[first + k - 1])))
+                for doc, a, b, _ in _hits(sets, words):
+                    spans[doc].append((a, b))
+                if windows is None:
+                    for doc, found in enumerate(batch.column(batch.num_columns - 1).slice(row, len(bounds) - 1).to_pylist()):
+                        spans[doc] = [(s["start"] + int(words.of[doc]), s["end"] + int(words.of[doc])) for s in found or ()]
                 for d in range(len(bounds) - 1):
                     pos, out = int(bounds[d]), []
                     for a, b in merged(spans.get(d, ())):
-                        out.append(data[pos:a].tobytes())
-                        pos = b
+                        out.append(data[pos : words.starts[a]].tobytes())
+                        pos = int(words.ends[b - 1])
                     out.append(data[pos : bounds[d + 1]].tobytes())
                     kept.append(b"".join(out).decode())
             field = batch.schema.field(at)
             mask = np.asarray(batch.column(at).is_null())
-            column = pa.array(kept, field.type, mask=mask)
-            yield batch.set_column(at, field, column)
+            done = batch.set_column(at, field, pa.array(kept, field.type, mask=mask))
+            yield done if windows is not None else done.select(done.schema.names[:-1])
 
     return run
 
