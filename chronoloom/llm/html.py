@@ -14,19 +14,19 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+STEPS = 64  # last steps of a path that name a container, however deep it lies
 BROADCAST_HOSTS = 200_000  # hosts whose paths are sent to every executor at most; more are joined
-DEPTH = 400  # elements nested deeper than this are read as part of their parent
 
 # HTML's element kinds and the words that mark what isn't main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
+RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -45,15 +45,25 @@ SCOPE = frozenset("html body article aside main section div table td th ul ol dl
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox banner sponsor sponsored promo promotion promoted cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar header comment comments commentlist disqus respond replies reply share sharing social related recommended recommendations pagination pager login widget skip toolbar copyright".split()
 )
+# Marks that tell what a heading or paragraph is about, not that it is none of the text.
+TOPICS = frozenset("header masthead comment comments notice social related recommended recommendations widget reply replies share sharing respond overlay login menu banner".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar alertdialog".split())
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 hgroup li dt dd td th pre blockquote figcaption caption b i em strong span a code mark u s small sub sup time cite q".split())
+LISTS = frozenset("ul ol menu".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+# A tag from its name on: attributes whose values are quoted, or run to white space or the end of the tag. No part
+# is tried twice, so that a page is read in linear time.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+)*+)(>?)")
+ATTR = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 def _attributes(text: str) -> dict[str, str]:
-    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(text)} if text.strip(" /") else {}
+    out: dict[str, str] = {}
+    if text.strip(" /"):
+        for m in ATTR.finditer(text):
+            out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
 
 
 def _skipped(tag: str, attrs: dict[str, str], inside_whole: bool) -> bool:
@@ -65,7 +75,11 @@ def _skipped(tag: str, attrs: dict[str, str], inside_whole: bool) -> bool:
         return "hidden" in attrs
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "")):
         return True
-    return any(w.lower() in MARKS for w in WORD.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}"))
+    named = f"{attrs.get('class', '')} {attrs.get('id', '')}"
+    if tag in TEXTUAL:  # a name that only holds a mark, as related-work does, says what the text is about
+        return any(w in MARKS and w not in TOPICS for w in named.lower().split())
+    found = {w.lower() for w in WORD.findall(named)} & MARKS
+    return bool(found - {"header"} if inside_whole else found)
 
 
 def _step(tag: str, attrs: dict[str, str]) -> str:
@@ -75,32 +89,37 @@ def _step(tag: str, attrs: dict[str, str]) -> str:
 
 
 class Page:
-    """blocks: (container, text, link characters) in page order; containers: (path, enclosing containers)."""
+    """blocks: (container, text, link characters, list) in page order; containers: (path, enclosing containers).
+
+    An element is (tag, container that its blocks belong to, whether it is left out, whether a link, outermost list).
+    Of open elements the places by tag are kept, so that an end tag finds its start at once at any depth.
+    """
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[int, str, int]] = []
+        self.blocks: list[tuple[int, str, int, int]] = []
         self.paths: list[str] = [""]
         self.parents: list[int] = [-1]
         self.whole: list[int] = [-1]  # the nearest article or main, itself included
-        # An open element: tag, container that its blocks belong to, whether it is left out, whether a link.
-        self._open: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+        self._open: list[tuple[str, int, bool, bool, int]] = [("", 0, False, False, 0)]
+        self._places: dict[str, list[int]] = defaultdict(list)
         self._parts: list[str] = []
         self._linked = 0
-        self._block = 0
+        self._block = (0, 0)
+        self._lists = 0
         self._read(source)
 
     def _flush(self) -> None:
         text = " ".join(entities.unescape("".join(self._parts)).split()) if self._parts else ""
         if text:
-            self.blocks.append((self._block, text, self._linked))
+            self.blocks.append((self._block[0], text, self._linked, self._block[1]))
         self._parts, self._linked = [], 0
 
     def _text(self, text: str) -> None:
-        _, container, skipped, link = self._open[-1]
+        _, container, skipped, link, listed = self._open[-1]
         if skipped or not text:
             return
         if not self._parts:
-            self._block = container
+            self._block = (container, listed)
         self._parts.append(text)
         if link:
             self._linked += len(text)
@@ -109,15 +128,15 @@ class Page:
         """Ends open elements from place at on."""
         if any(tag in BLOCK for tag, *_ in self._open[at:]):
             self._flush()
+        for tag, *_ in self._open[at:]:
+            self._places[tag].pop()
         del self._open[at:]
 
     def _end(self, tag: str, within: frozenset[str] = frozenset()) -> None:
-        for at in range(len(self._open) - 1, 0, -1):
-            if self._open[at][0] == tag:
-                self._close(at)
-                return
-            if self._open[at][0] in within:
-                return
+        """Ends the last open element of the tag, unless one of within was opened after it."""
+        places = self._places.get(tag)
+        if places and not any(self._places.get(t, ()) and self._places[t][-1] > places[-1] for t in within):
+            self._close(places[-1])
 
     def _start(self, tag: str, attrs: dict[str, str]) -> None:
         if tag in BLOCK:
@@ -129,59 +148,71 @@ class Page:
             if tag == "br":
                 self._text(" ")
             return
-        if len(self._open) >= DEPTH:
-            return
-        _, container, skipped, link = self._open[-1]
+        _, container, skipped, link, listed = self._open[-1]
         skipped = skipped or _skipped(tag, attrs, self.whole[container] >= 0)
         if tag in BLOCK and tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "blockquote", "ul", "ol", "dl", "tr", "tbody", "thead", "tfoot", "td", "th", "figure", "figcaption", "caption", "header", "hgroup") and not skipped:
-            self.paths.append(f"{self.paths[container]}>{_step(tag, attrs)}" if container else _step(tag, attrs))
+            path = f"{self.paths[container]}>{_step(tag, attrs)}" if container else _step(tag, attrs)
+            if path.count(">") >= STEPS:
+                path = path.split(">", 1)[1]
+            self.paths.append(path)
             self.parents.append(container)
             own = len(self.paths) - 1
             self.whole.append(own if tag in WHOLE else self.whole[container])
             container = own
-        self._open.append((tag, container, skipped, link or tag == "a"))
+        if tag in LISTS and not listed:
+            self._lists += 1
+            listed = self._lists
+        self._places[tag].append(len(self._open))
+        self._open.append((tag, container, skipped, link or tag == "a", listed))
 
     def _read(self, source: str) -> None:
-        at = 0
-        while True:
-            m = TOKEN.search(source, at)
-            if m is None:
+        at, n = 0, len(source)
+        while at < n:
+            start = source.find("<", at)
+            self._text(source[at : start if start >= 0 else n])
+            if start < 0:
                 break
-            self._text(source[at : m.start()])
-            at = m.end()
-            if m[2] is None:
+            if source.startswith("<!--", start):
+                end = source.find("-->", start + 2)  # <!--> is a whole comment
+                at = n if end < 0 else end + 3
                 continue
-            tag = m[2].lower()
+            m = TAG.match(source, start)
+            if m is None:
+                if source[start + 1 : start + 2] in ("!", "?", "/") and start + 2 < n:
+                    end = source.find(">", start)
+                    at = n if end < 0 else end + 1
+                else:
+                    self._text("<")
+                    at = start + 1
+                continue
+            if not m[4]:  # a tag that never ends takes the rest of the page
+                break
+            at, tag = m.end(), m[2].lower()
             if m[1]:
                 if tag == "br":
                     self._text(" ")
-                elif tag == "p" and not any(t == "p" for t, *_ in self._open):
+                elif tag == "p" and not self._places.get("p"):
                     self._flush()
                 else:
                     self._end(tag, frozenset(("article", "main")) - {tag} if tag not in ("html", "body") else frozenset())
             else:
                 self._start(tag, _attributes(m[3]))
                 if tag in RAW and not m[3].rstrip().endswith("/"):
-                    end = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(source, at)
+                    end = re.compile(rf"</{re.escape(tag)}[^>]*+>", re.I).search(source, at)
                     self._end(tag)
-                    at = end.end() if end else len(source)
-        # What is left may be a tag that never ends.
-        rest = source[at:]
-        cut = re.search(r"<[a-zA-Z/!]", rest)
-        self._text(rest[: cut.start()] if cut else rest)
+                    at = end.end() if end else n
         self._flush()
 
     def scores(self) -> Counter:
-        """Container -> score. Text counts for its article or main if it has one, else for its container and half for the next."""
+        """Container -> score. Text counts for its article or main if it has one, links and all; else, less its links, for its container and half for the next."""
         out: Counter = Counter()
-        for container, text, linked in self.blocks:
-            worth = len(text) - 2 * linked
+        for container, text, linked, _ in self.blocks:
             if self.whole[container] >= 0:
-                out[self.whole[container]] += worth
+                out[self.whole[container]] += len(text)
             else:
-                out[container] += worth
+                out[container] += len(text) - 2 * linked
                 if self.parents[container] > 0:
-                    out[self.parents[container]] += worth / 2
+                    out[self.parents[container]] += (len(text) - 2 * linked) / 2
         return out
 
     def votes(self) -> Counter:
@@ -200,15 +231,21 @@ class Page:
         kept = self._under(chosen)
         if not kept:
             scores = self.scores()
-            if scores and max(scores.values()) > 0:
+            if scores:
                 kept = self._under({max(scores, key=lambda c: (scores[c], -c))})
         return "\n\n".join(kept)
 
     def _under(self, chosen: set[int]) -> list[str]:
+        """The blocks inside the chosen containers, without lists that are links throughout and stand in no article: menus."""
         inside = [False] * len(self.paths)
         for i in range(len(self.paths)):
             inside[i] = i in chosen or (i > 0 and self.parents[i] >= 0 and inside[self.parents[i]])
-        return [text for container, text, linked in self.blocks if inside[container] and linked < 0.9 * len(text)]
+        said, linked = Counter(), Counter()
+        for _, text, links, listed in self.blocks:
+            said[listed] += len(text)
+            linked[listed] += links
+        menus = {listed for listed in said if listed and linked[listed] >= 0.9 * said[listed]}
+        return [text for container, text, _, listed in self.blocks if inside[container] and (listed not in menus or self.whole[container] >= 0)]
 
 
 VOTES = "host string, path string, score double"
