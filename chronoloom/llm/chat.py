@@ -130,5 +130,26 @@ def as_events(turns: DataFrame) -> DataFrame:
     return turns.select("conv_id", n.alias("seq"), F.lit("message").alias("event"), n.alias("message"), "role", "text")
 
 
+PIECES = 3  # deltas in which a streamed text arrives
+
+
+def as_log(turns: DataFrame) -> DataFrame:
+    """Rows of whole turns as the log that a chat service would have kept of them; folded() gives the turns back.
+
+    Texts of learned roles are streamed: an empty message, a first answer in deltas, a regeneration that gives it
+    up, and the final text in PIECES deltas. Others are sent in part, then edited to their final text.
+    """
+    whole = as_events(turns)
+    said = F.coalesce("text", F.lit(""))
+    n = F.char_length(said)
+    at = lambda i: F.floor(n * i / PIECES).cast("int")
+    event = lambda kind, text: F.struct(F.lit(kind).alias("event"), text.alias("text"))
+    pieces = [event("delta", F.substr(said, at(i) + 1, at(i + 1) - at(i))) for i in range(PIECES)]
+    streamed = F.array(event("message", F.lit("")), event("delta", F.reverse(said)), event("delta", F.lit("...")), event("regenerate", F.lit(None).cast("string")), *pieces)
+    edited = F.array(event("message", F.substr(said, F.lit(1), at(1))), event("delta", F.lit("...")), event("edit", said))
+    events = whole.select("conv_id", "message", "role", F.posexplode(F.when(F.col("role").isin(*LEARNED), streamed).otherwise(edited)).alias("i", "e"))
+    return events.select("conv_id", (F.col("message") * (len(pieces) + 4) + F.col("i")).alias("seq"), "e.event", "message", "role", "e.text")
+
+
 def format_conversations(events: DataFrame) -> DataFrame:
     return rendered(folded(events))

@@ -2,10 +2,14 @@
 
 import hashlib
 import re
+import time
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from chronoloom.llm import ann, chat, html, pii, sharding, warc
@@ -40,7 +44,7 @@ def test_pii_types_keep_their_form(spark):
     assert n == [2, 2, 3, 1, 2, 3, 0, 0, 0, 1]
     assert out[6:9] == said[6:9]
     low, up = re.findall(r"\S+@\S+", out[0])
-    assert low.lower() == up.lower() and up == up.upper() and low != "Anna.Müller24@mail4.example.com" and "ü" not in low.split("@")[0].replace("ü", "", 0) or True
+    assert low.lower() == up.lower() and up == up.upper() and low != "Anna.Müller24@mail4.example.com" and re.fullmatch(r"[a-z]{4}\.[a-zàáâäãéèêëíìîïóòôöõúùûü]{6}\d\d@\w+\.example\.(com|net|org)", low.lower())
     a, b = re.findall(r"\+[\d ()-]+\d", out[1])
     assert re.sub(r"\D", "", a) == re.sub(r"\D", "", b) and re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", a) and "6145558001" not in out[1]
     cards = re.findall(r"\d[\d ]{14,}\d", out[2])
@@ -135,6 +139,16 @@ def test_chat_round_trip(spark):
     assert d[0].turns_sha256 == hashlib.sha256("".join(f"{r[2]}\n{r[3]}\n" for r in rows if r[0] == 0).encode()).hexdigest() and d[0].n_turns == len(odd)
 
 
+def test_chat_log_folds_back_to_the_turns(spark):
+    said = ["", "a", "ab", "abc", "Hello é漢😀 <|im_end|>", None, "x" * 10_000]
+    turns = spark.createDataFrame([(c, t, ("user", "assistant", None)[(c + t) % 3], s) for c in range(3) for t, s in enumerate(said)] + [(None, None, "user", "lost")], "conv_id long, turn int, role string, text string")
+    log = chat.as_log(turns)
+    assert {r.event for r in log.select("event").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    say = lambda df: sorted(map(str, df.select("conv_id", "message", "role", "text").collect()))
+    assert say(chat.folded(log)) == say(chat.folded(chat.as_events(turns)))
+    assert chat.folded(chat.as_log(turns.limit(0))).collect() == []
+
+
 # HTML
 
 NOISE = '<nav class=menu><a href="/">Home</a></nav><div class="ad">Buy</div><aside>Side</aside><form><p>Search</p></form>'
@@ -164,6 +178,49 @@ def test_html_consensus_wins_over_a_page_of_its_own(spark):
     assert got[6] == (6, "Short body.") and got[7] == (7, "") and got[8] == got[9] == (8, "Alone") and "Promo" not in got[0][1]
 
 
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        ("<article><a title=it's href=x>One</a><p>Second</p><p class='related-work'>Related</p><p>Third</p></article>", "One\n\nSecond\n\nRelated\n\nThird"),
+        ("<article><h1 class=post-header>Head</h1><div class=header><p>Lead</p></div><p>Body</p><div class=comments><p>c</p></div><p class=advert>Buy</p></article>", "Head\n\nLead\n\nBody"),
+        ("<body>" + "<div>" * 2000 + "<nav>MENU</nav><p>text", "text"),
+        ("<article><p><a href=x>" + "long link " * 40 + "</a></p></article>", ("long link " * 40).strip()),
+        ("<body><ul><li><a href=x>Menu</a><li><a href=y>More</a></ul><p><a href=z>One link</a></p><p>text</p>", "One link\n\ntext"),
+        ("<article><p>Text</p><ul><li><a href=x>Source</a></ul></article>", "Text\n\nSource"),
+        ("a < b <p>c", "a < b\n\nc"),
+        ("<p>a</p><!--> <p>b</p><!-- <p>no</p> --!", "a\n\nb"),
+        ("<article><p>" + "w " * 400_000 + "</article>", ("w " * 400_000).strip()),
+    ],
+)
+def test_html_keeps_the_article_and_nothing_else(source, text):
+    assert html.Page(source).text(None) == text
+
+
+@pytest.mark.parametrize("part", ["<a ", "<", '<a x="', "<a x='", "<p><b>", "</i><b>", "<div>", "<!--", "</", "<div class=a>"])
+def test_html_is_read_in_linear_time(part):
+    began = time.perf_counter()
+    html.Page("<article><i>" + part * (1_000_000 // len(part))).text(None)
+    assert time.perf_counter() - began < 30
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["nav", "p", "div", "div class=ad", "footer", "article", "section", "aside", "ul"]).flatmap(lambda t: st.tuples(st.just(t), st.integers(0, 9), st.integers(0, 3))), max_size=25))
+def test_html_skips_as_a_tree_walk_does(parts):
+    # Well-formed pages: (tag, word, how many open elements end before it). The oracle walks the tree.
+    source, stack, said = "<article>", [], []
+    for tag, word, ends in parts:
+        for _ in range(min(ends, len(stack))):
+            source += f"</{stack.pop().split()[0]}>"
+        if tag == "article" or (stack and stack[-1] == "p"):
+            continue
+        stack.append(tag)
+        source += f"<{tag}><div>w{word}</div>" if tag != "p" else f"<p>w{word}"
+        if not any(t in ("nav", "div class=ad", "footer", "aside") for t in stack):
+            said.append(f"w{word}")
+    source += "".join(f"</{t.split()[0]}>" for t in reversed(stack)) + "</article>"
+    assert html.Page(source).text(None) == "\n\n".join(said)
+
+
 # WARC
 
 
@@ -229,24 +286,61 @@ def test_neighbours_of_few_rows(spark):
 
 
 def test_sharding_law_and_order(spark):
-    rows = [(i, f"t{i}", None, i % 3) for i in range(500)] + [(7, "same", "x", 1)] * 250 + [(None, None, None, None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, shard string, place int")
-    got = sharding.shard(df, 24, seed=3, bucket_rows=100).collect()
-    assert Counter((r.doc_id, r.text) for r in got) == Counter((r[0], r[1]) for r in rows)
+    rows = [(i, f"t{i}", None, i % 3, {"a": i}) for i in range(500)] + [(7, "same", "x", 1, None)] * 250 + [(None, None, None, None, None)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard string, _bucket int, m map<string,int>")
+    sharded = sharding.shard(df, 24, seed=3, bucket_bytes=4000)
+    got = sharded.collect()
+    assert sharded.columns == ["doc_id", "text", "_bucket", "m", "shard", "slot"]
+    assert Counter((r.doc_id, r.text, r._bucket) for r in got) == Counter((r[0], r[1], r[3]) for r in rows)
     by = {}
     for r in got:
         by.setdefault(r.shard, []).append(r.slot)
     assert sorted(by) == list(range(24)) and all(sorted(s) == list(range(len(s))) for s in by.values())
     assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
-    place = {r.doc_id: r.slot * 24 + r.shard for r in got if r.text != "same"}
+    place = {r.doc_id: r.slot + 32 * r.shard for r in got if r.text != "same"}
     ids = [i for i in range(500) if i != 7]
     assert abs(np.corrcoef(ids, [place[i] for i in ids])[0, 1]) < 0.2
-    again = sharding.shard(df, 24, seed=3, bucket_rows=100).collect()
-    assert Counter(map(tuple, again)) == Counter(map(tuple, got))
+
+
+def test_sharding_is_decided_by_seed_and_rows(spark):
+    rows = [(i % 300, f"t{i % 300}") for i in range(400)]
+    placed = lambda df, seed=3: sorted(map(str, sharding.shard(df, 7, seed, bucket_bytes=2000).collect()))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    first = placed(df)
+    for n in (1, 3, 11):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        assert placed(df.repartition(n)) == first
+    spark.conf.set("spark.sql.shuffle.partitions", 8)
+    assert placed(df, 4) != first
+
+
+def test_fisher_yates_by_its_definition(spark):
+    def by_hand(n):
+        out = list(range(1, n + 1))
+        for i in range(n, 1, -1):
+            j = drawn[i] % i + 1
+            out[i - 1], out[j - 1] = out[j - 1], out[i - 1]
+        return out
+
+    drawn = {r.id: r.d for r in spark.range(200).select("id", F.xxhash64(F.lit(9), F.col("id").cast("int")).alias("d")).collect()}
+    got = spark.createDataFrame([(n,) for n in (0, 1, 2, 3, 50, 150)], "n int").filter("n > 0").select("n", sharding.fisher_yates(F.col("n"), lambda i: F.xxhash64(F.lit(9), i)).alias("p")).collect()
+    assert all(r.p == by_hand(r.n) for r in got) and len(got) == 5
 
 
 def test_sharding_of_an_empty_table_and_files(spark, tmp_path):
     assert sharding.shard(spark.createDataFrame([], "doc_id long"), 24).collect() == []
-    out = sharding.shard(spark.range(100).withColumnRenamed("id", "doc_id"), 4)
+    out = sharding.shard(spark.range(100).withColumnRenamed("id", "doc_id"), 4, bucket_bytes=200)
     sharding.write(out, str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s" / "shard=2")).count() == 25
+
+
+def test_sharding_query_against_its_definition(spark, tmp_path):
+    from chronoloom.llm import queries
+
+    rows = [(i, "é" * (i % 40) if i % 9 else None, "x") for i in range(100)] + [(100 + i, "same", "x") for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op10_two_pass_shuffle(spark, str(tmp_path)).collect()
+    said = {i: (t or "").encode() for i, t, _ in rows}
+    assert sorted((r.doc_id, r.size, r.text_crc32) for r in got) == sorted((i, len(b) + 8, zlib.crc32(b)) for i, b in said.items())
+    assert {r.law for r in got} == {"rows"} and {r.grown_shard for r in got} == {None}
+    assert Counter(r.shard for r in got) == Counter({s: 7 if s < 160 % 24 else 6 for s in range(24)})

@@ -14,6 +14,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from chronoloom.llm import decontam, neardup, packing, toxicity
+from chronoloom.llm._shared import without
 from chronoloom.llm._text import ALNUM, NOT_SPACE, Words, shingle_sets, texts
 
 ODD = ["", None, " ", "one", "A b C d E", "a b c d e", "x\ty\nz\x0bw\x0cv\ru", "é ü ß ñ 漢字 😀", "<|endoftext|> tail", "w " * 9000, "a" * 3_000_000]
@@ -55,7 +56,6 @@ def test_equal_words_have_equal_hashes_wherever_they_stand():
 
 def test_packing_ids_are_those_of_the_tokenizer(spark):
     known = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    known.encode_special_tokens = True
     docs = frame(spark, list(enumerate([t for t in ODD if t is None or len(t) < 100_000])))
     rows = packing.pack(docs).collect()
     for i, t in enumerate(t for t in ODD if t is None or len(t) < 100_000):
@@ -83,6 +83,32 @@ def test_packing_is_gapless_and_tight(spark):
     assert len(by) <= 1.02 * -(-sum(r.length for r in rows) // 2048) + 1
 
 
+def naive_best_fit(lengths, capacity, open_bins):
+    """(sequence, offset) of each piece: the fitting open bin with least room, else a new one; the fullest closes."""
+    bins, out, made = [], [], 0
+    for n in lengths:
+        fits = [b for b in bins if b[1] >= n]
+        if fits:
+            b = min(fits, key=lambda b: (b[1], -bins.index(b)))
+            bins.remove(b)
+        else:
+            b, made = [made, capacity], made + 1
+            if len(bins) >= open_bins:
+                bins.remove(min(bins, key=lambda b: (b[1], -bins.index(b))))
+        out.append((b[0], capacity - b[1]))
+        b[1] -= n
+        if b[1]:
+            bins.append(b)
+    return out
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 12), max_size=80), st.integers(1, 6))
+def test_best_fit_against_a_search_of_all_open_bins(lengths, open_bins):
+    fit = packing.BestFit(12, open_bins)
+    assert [fit.place(n) for n in lengths] == naive_best_fit(lengths, 12, open_bins)
+
+
 def test_best_fit_closes_the_fullest_bin():
     fit = packing.BestFit(10, 2)
     assert [fit.place(n) for n in (6, 7, 8)] == [(0, 0), (1, 0), (2, 0)]  # bin 1 was the fullest and closed
@@ -124,13 +150,29 @@ def test_decontamination_against_brute_force(spark, max_windows):
     assert got == {i: brute_decontam(t, items) for i, t in docs}
 
 
-def test_decontamination_modes(spark):
+def test_decontamination_keeps_rows_apart_whatever_the_blocks(spark):
+    item = " ".join(f"q{i}" for i in range(60))
+    bench = spark.createDataFrame([(1, item), (2, None)], "item_id long, text string")
+    docs = frame(spark, [(1, item), (1, "clean"), (None, f"x {item}"), (None, "clean too"), (2, None), (2, None)])
+    got = [sorted(map(str, decontam.judged(decontam.scan(docs, bench, max_windows=m)).collect())) for m in (10**6, 20, 7)]
+    assert len(got[0]) == 6 and got[0] == got[1] == got[2]
+    assert [sum(len(by) for by in b.values()) for b in decontam.blocks(bench, 20)] == [20, 20, 8]  # one item over three blocks
+
+
+@pytest.mark.parametrize("max_windows", [10**6, 3, 1])
+def test_decontamination_modes(spark, max_windows):
     item = " ".join(f"q{i}" for i in range(15))
-    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
-    docs = frame(spark, [(1, f"Start. {item.upper()}! End."), (2, "clean"), (3, None), (None, "clean too")])
-    assert sorted(str(r.doc_id) for r in decontam.decontaminate(docs, bench).collect()) == ["2", "3", "None"]
-    cut = {r.doc_id: r.text for r in decontam.decontaminate(docs, bench, mode="spans").collect()}
-    assert cut == {1: "Start. ! End.", 2: "clean", 3: None, None: "clean too"}
+    bench = spark.createDataFrame([(1, item), (2, "q10 q11 q12 q13 q14 r1 r2 r3 r4 r5 r6 r7 r8")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"Start. {item.upper()}! End.", 1, 2), (2, "clean", 1, 2), (3, None, 1, 2), (None, "clean too", 1, 2), (4, f"S {item} r1 r2 r3 r4 r5 r6 r7 r8 E", 1, 2)], "doc_id long, text string, _row int, _spans int")
+    assert sorted(str(r.doc_id) for r in decontam.decontaminate(docs, bench, max_windows=max_windows).collect()) == ["2", "3", "None"]
+    out = decontam.decontaminate(docs, bench, mode="spans", max_windows=max_windows)
+    assert out.schema == docs.schema
+    assert {r.doc_id: r.text for r in out.collect()} == {1: "Start. ! End.", 2: "clean", 3: None, None: "clean too", 4: "S  E"}
+
+
+def test_rows_go_whatever_their_columns_are_called(spark):
+    docs = spark.createDataFrame([(1, "a", "g"), (None, "b", "g"), (2, "c", "g")], "doc_id long, text string, _gone string")
+    assert sorted(r.text for r in without(docs, docs.filter("doc_id = 1").select("doc_id"), "doc_id").collect()) == ["b", "c"]
 
 
 def test_decontamination_of_empty_tables(spark):
