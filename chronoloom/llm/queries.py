@@ -12,7 +12,7 @@ def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronoloom.llm import pii
 
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return pii.pseudonymised(docs, key="2024-01")
+    return pii.pseudonymised(docs, key=pii.key_of(spark))
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,6 @@ from chronoloom.llm import decontam, neardup, packing, pii, toxicity
 from chronoloom.llm._shared import dropped, read, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-PII_KEY = "corpus"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +33,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by surrogates; n_chars follows the new text."""
-    out = pii.pseudonymised(docs.select(*COLUMNS), key=PII_KEY)
+    out = pii.pseudonymised(docs.select(*COLUMNS), key=pii.key_of(spark))
     return out.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), "n_chars")).select(*COLUMNS)
 
 

@@ -1,8 +1,10 @@
 """PII, chat formatting, HTML, WARC, nearest neighbours, sharding: brute force, round trips and edge cases."""
 
+import datetime
 import hashlib
 import re
 import time
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -65,38 +67,56 @@ def test_pii_is_keyed_and_coreferent(spark):
 
 @pytest.mark.parametrize("inline", [500, 0])
 def test_pii_surrogates_stay_distinct(spark, monkeypatch, inline):
-    # Letters are drawn from three, so that 25 addresses have 81 surrogates and some first ones collide.
+    # 45 of the 105 surnames of a consonant and a vowel must replace 60 others; titled names, one surname with all given names.
     monkeypatch.setattr(pii, "INLINE", inline)
-    said = [f"{a}{b}@q.com" for a in "bcdfg" for b in "hjklm"] * 2
-    known = pii.inventory(spark.createDataFrame([(t,) for t in said], "text string")).cache()
-    drawn = pii._at
-    monkeypatch.setattr(pii, "_at", lambda stream, i, n: F.pmod(drawn(stream, i, n), F.lit(3)))
-    odd = pii.exceptions(known, "k")
-    assert odd.count() > 0
+    given = pii.GIVEN["f"]["latin"]
+    said = [f"Mr {a}{b}" for a in "BCDFGHJKLMNP" for b in "aeiou"] + [f"{g} Hu" for g in given] + ["Mr Ca", "Ms Ge", "Herr Ge", "Anna Hu", "Mr Ahmed Ca"]
+    out, n = replaced(spark, said, key="2024-01")
+    by = dict(zip(said, out, strict=True))
+    assert set(n) == {1} and len(by) == len(set(by.values())) and not set(out) & set(said)
+    last = lambda t: by[t].split(" ")[-1]
+    assert last("Mr Ge") == last("Ms Ge") == last("Herr Ge") and last("Mr Ca") == last("Mr Ahmed Ca") and {last(f"{g} Hu") for g in given} == {last("Mr Hu")} if "Mr Hu" in by else True
+    assert {by[f"{g} Hu"].split(" ")[0] for g in given} == set(given)
+
+
+def test_pii_exhausted_phones_and_addresses(spark):
+    # All ten one-digit ends of a number, and all two-letter addresses of one host: no free surrogate of their length.
+    said = [f"+1 55 0{i}" for i in range(10)] + [f"+1 5{j} {i}0" for i in range(10) for j in range(10)] + [f"{a}{b}@q.com" for a in "bcdfg" for b in "aei"]
     out, _ = replaced(spark, said)
-    assert len(set(out)) == 25 and out[:25] == out[25:] and not set(out) & set(said)
+    assert len(set(out)) == len(set(said)) and not set(out) & set(said)
 
 
-@pytest.mark.parametrize("inline", [500, 0])
-def test_pii_short_surnames_are_settled(spark, monkeypatch, inline):
-    # With key 2024-01 the first surrogates of Hu and Le, and of Tao and Yao, are one, and Gu maps to itself; 8 dashes and Ōő always do.
-    monkeypatch.setattr(pii, "INLINE", inline)
-    monkeypatch.setattr(pii, "ATTEMPTS", 4)
-    said = ["Mr Gu", "Mr Hu", "Dr Le", "Dr Tao", "Ms Yao", "John Hu", "Anna Hu", "Mr Ōő", "password=--------"]
-    out, _ = replaced(spark, said, key="2024-01")
-    last = [t.split(" ")[-1] for t in out[:8]]
-    assert len(set(out)) == 9 and last[1] == last[5] == last[6] and len(set(last)) == 6
-    assert not set(last) & {"Gu", "Hu", "Le", "Tao", "Yao", "Ōő"} and out[8] not in said
+def test_pii_replaces_names_of_all_scripts(spark):
+    said = ["Wei Zhang", "Fatima Khan", "Mr Łukasz Wąsik", "Anna van Dijk", "Name: ČAPEK Josef", "王伟先生", "姓名：王伟", "김철수씨", "الاسم: محمد علي", "Name: Ŋŋŋ Ƣƣƣ", "Frau Ωμέγα", "氏名: やまだ", "שרה Name: Zz"]
+    out, n = replaced(spark, said)
+    assert n == [1] * len(said)
+    for old, new in zip(said, out, strict=True):
+        kept = set(re.findall(r"[^\W\d_]", old)) & set(re.findall(r"[^\W\d_]", new)) - set("NameMrFrauvn先生姓名씨الاسم氏שרה")
+        scripts = lambda t: Counter(unicodedata.name(c).split()[0] for c in t if c.isalpha())
+        assert set(scripts(old)) == set(scripts(new)) and old != new and len(kept) <= 3, (old, new)
+        assert [w[0].isupper() for w in old.split()] == [w[0].isupper() for w in new.split()]
+    assert out[5][:2] == out[6][3:] and out[3].split(" ")[1] == "van" and out[4].split(" ")[1].isupper()
 
 
-def test_pii_exhausted_forms_get_longer(spark, monkeypatch):
-    # 60 of the 105 surnames of a consonant and a vowel can't all be replaced by the 45 others; one surname stands with all given names.
-    monkeypatch.setattr(pii, "ATTEMPTS", 3)
-    given = pii.GIVEN["f"]["latin"]
-    said = [f"Mr {a}{b}" for a in "BCDFGHJKLMNP" for b in "aeiou"] + [f"{g} Hu" for g in given]
-    out, _ = replaced(spark, said)
-    assert len(set(out)) == len(said) and not set(out) & set(said)
-    assert {t.split(" ")[0] for t in out[60 : 60 + len(given)]} == set(given)
+def test_pii_births_and_streets(spark):
+    out, n = replaced(spark, ["born 1980-03-12", "DOB: 3 March 1999", "geboren am 4.5.1977", "12 Main Street", "in Hauptstraße 5", "1980-03-12 built"])
+    assert n == [1, 1, 1, 1, 1, 0]
+    assert datetime.date.fromisoformat(out[0][5:]) and re.fullmatch(r"DOB: \d\d? March \d{4}", out[1], re.I) and re.fullmatch(r"geboren am \d\d\.\d\d\.\d{4}", out[2])
+    assert re.fullmatch(r"\d\d [A-Z][a-z]{3} Street", out[3]) and re.fullmatch(r"in [A-Z][a-z]{4}straße \d", out[4]) and "Main" not in out[3] and "Haupt" not in out[4]
+
+
+def test_pii_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([("Mr Hu", 1, 2, 3, 4)], "text string, _found int, _attempts int, _of int, `a.b` int")
+    (row,) = pii.pseudonymised(docs).collect()
+    assert tuple(row)[1:] == (1, 2, 3, 4, 1) and row.text != "Mr Hu"
+
+
+def test_pii_draws_by_hmac(spark):
+    import hmac
+
+    got = spark.range(1).select(pii._hmac("key" * 30, F.lit("a"), F.lit("bé")).alias("h"), pii._hmac("k", F.lit("a")).alias("s")).first()
+    assert got.s == hmac.new(hashlib.sha256(b"k").digest(), b"a", "sha256").hexdigest()
+    assert got.h == hmac.new(hashlib.sha256(b"key" * 1 + b"key" * 29).digest(), "a\x1fbé".encode(), "sha256").hexdigest()
 
 
 def test_pii_of_an_empty_table(spark):
