@@ -172,7 +172,7 @@ def _letter_beside(c: Column, stream: Column, i: Column) -> Column:
     """Another letter of c's case among the 32 code points that c is one of, for scripts without a class."""
     point = F.ascii(c)
     of = lambda k: F.decode(F.unhex(F.lpad(F.hex((point - F.pmod(point, F.lit(32)) + k).cast("long")), 8, "0")), "UTF-32")
-    beside = F.filter(F.transform(F.sequence(F.lit(0), F.lit(31)), of), lambda x: F.regexp_like(x, F.lit(r"^\p{L}$")) & (x != c) & ((x == F.lower(x)) == (c == F.lower(c))))
+    beside = F.filter(F.transform(F.sequence(F.lit(0), F.lit(31)), of), lambda x: F.regexp_like(x, F.lit(r"^\p{L}$")) & (x != c) & ((x == F.lower(x)) == (c == F.lower(c))) & ((x == F.upper(x)) == (c == F.upper(c))))
     return let(beside, lambda b: F.when(F.size(b) > 0, F.element_at(b, 1 + _at(stream, i, F.size(b)))).otherwise(F.lit("x")))
 
 
