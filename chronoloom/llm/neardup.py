@@ -4,14 +4,18 @@ A document's set is its distinct 5-word shingles; two documents are linked when
 similarity is at least 0.75. Documents with equal sets form one class, of which only the least id goes on.
 
 Trees. A class is embedded as WIDTH minwise tokens of its set. In each of TREES independent trees, a node
-chooses BRANCH of these tokens by its own path, and each class in it goes on to the children named by the
-tokens' values, so two classes stay together along a branch with the probability of their similarity. A node
-of at most LEAF classes is compared exhaustively: by the embedding first (a pair far below the threshold is
-put aside), then on full sets. At 0.75 a tree of any depth keeps a pair with probability 0.89 or more, and
-six trees lose it with probability 2e-6.
-
-Large nodes. A node of more classes has one of them, its pivot, one without a label if there is any, compared
-with all others on full sets, which settles the pivot; the rest branch. Classes linked to a pivot carry its label, and a node whose classes all
+chooses one of these tokens, and every fourth node, by a hash of its path, a second one. Each class in it goes
+on to the children named by the chosen tokens' values. Tokens are set apart by tree and level, so none is chosen
+twice along a path. Pages of one template, less similar to each other than the threshold, share a token with
+some 0.8 to 0.85 of the others, so a level leaves them about as many rows as it found: 1.25 children times that
+share. A node of at most LEAF classes and LEAF_BYTES of text is compared exhaustively: by the embedding first (a
+pair far below the threshold is put aside), then on full sets. A pair at exactly 0.75 stays together in a tree
+with probability 0.80 where nodes are small after one level, 0.42 after five, 0.23 after ten; nine trees lose it
+with probability 3e-7, 0.008 and 0.09. Ten levels take apart some 20,000 classes of one template.
+
+Large nodes. A node beyond these bounds has one of its classes, its pivot, one without a label if there is any,
+compared with all others on full sets, which settles the pivot; the rest branch. The pivot meets the others in
+several parts where they are many. Classes linked to a pivot carry its label, and a node whose classes all
 carry one label is connected already and goes no further, so a mass of near copies is settled by a few
 pivots, and no pairs within it are listed. This goes on until no large node is left: nothing is capped.
 
@@ -25,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,13 +37,17 @@ from chronoloom.llm._shared import SENT_IDS, cut, dropped, stored, without
 from chronoloom.llm._text import U, give_back, mix, shingle_sets
 
 K = 5
-WIDTH, TREES, BRANCH, LEAF = 64, 6, 2, 4000
+WIDTH, TREES, LEAF = 64, 9, 4000
+LEAF_BYTES = 64 << 20  # of text in a node that is compared exhaustively
+PART = 2000  # classes that a pivot meets at once
+HEAVY = 10_000  # edges at a node from which its least neighbour is sent, not joined
 FAR = 30  # equal tokens of WIDTH below which a pair isn't compared on full sets: 5 deviations under 0.75
 LIKE = 75  # percent
 
 _XOR = np.random.default_rng(21).integers(1, 2**63 - 1, WIDTH, dtype=np.uint64)
 _MUL = np.random.default_rng(22).integers(1, 2**63 - 1, WIDTH, dtype=np.uint64) * U(2) + U(1)
-SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, sig binary"
+SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, sig binary, octets long"
+NODE = "key long, rep long, label long, octets long"
 
 
 def embedding(shingles: np.ndarray) -> np.ndarray:
@@ -61,7 +70,7 @@ def signed(docs: DataFrame, key: str, text: str) -> DataFrame:
                 h1.append(int(mix(s ^ U(0xA5A5)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                 h2.append(int(mix(s * U(0x9E3779B97F4A7C15) + U(7)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                 sig.append(embedding(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "h1", "h2", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary()), pc.binary_length(b.column(1)).cast(pa.int64())], names=["doc_id", "n_shingles", "h1", "h2", "sig", "octets"])
         give_back()
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SIGNED)
@@ -71,31 +80,50 @@ def _sigs(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(len(column), WIDTH)
 
 
-def _children(keys: np.ndarray, sigs: np.ndarray) -> list[np.ndarray]:
-    """The keys of the BRANCH children that each row goes to. A node's key fixes which tokens it chooses."""
-    first = (mix(keys ^ U(0x51)) % U(WIDTH)).astype(np.int64)
+def _tokens() -> np.ndarray:
+    """Each tree's order of the tokens, two for a level. The first two are no other tree's."""
     out = []
-    for b in range(BRANCH):
-        at = (first + b * (1 + (mix(keys ^ U(0x52)) % U(WIDTH - 1)).astype(np.int64))) % WIDTH
-        out.append(mix(mix(keys + U(b + 1)) ^ sigs[np.arange(len(sigs)), at].astype(np.uint64)))
+    for t in range(TREES):
+        rest = np.random.default_rng(30 + t).permutation(WIDTH)
+        out.append(np.concatenate([[2 * t, 2 * t + 1], rest[(rest // 2) != t]]))
+    return np.array(out)
+
+
+_ORDER = _tokens()
+_TREE = U(15)  # the bits of a node's key that name its tree
+
+
+def _children(keys: np.ndarray, sigs: np.ndarray, level: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(rows, keys of the children they go to): by the node's first token, and by its second for every fourth node."""
+    tree = (keys & _TREE).astype(np.int64)
+    second = np.flatnonzero(tree % 4 == 3 if level == 0 else mix(keys ^ U(0x51)) % U(4) == 0)
+    out = []
+    for b, rows in enumerate((np.arange(len(keys)), second)):
+        token = sigs[rows, _ORDER[tree[rows], (2 * level + b) % WIDTH]].astype(np.uint64)
+        out.append((rows, (mix(mix(keys[rows] + U(b + 1)) ^ token) & ~_TREE) | (keys[rows] & _TREE)))
     return out
 
 
 def _rooted(batches):
-    """The first level: every class in BRANCH nodes of each tree, on a token of its own each."""
+    """The first level: every class in all trees."""
     for b in batches:
         sigs = _sigs(b.column("sig"))
-        keys = np.concatenate([mix(mix(np.full(1, t + 1, dtype=np.uint64)) ^ sigs[:, t].astype(np.uint64)) for t in range(TREES * BRANCH)])
-        rep = np.tile(b.column("rep").to_numpy(), TREES * BRANCH)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(rep), pa.array(rep)], names=["key", "rep", "label"])
+        for t in range(TREES):
+            yield from _dealt(b, np.full(b.num_rows, (mix(np.full(1, t + 1, dtype=np.uint64))[0] & ~_TREE) | U(t)), sigs, b.column("rep"), 0)
 
 
-def _branched(batches):
-    for b in batches:
-        if b.num_rows:
-            kids = _children(b.column("key").to_numpy().view(np.uint64), _sigs(b.column("sig")))
-            rep, label = np.tile(b.column("rep").to_numpy(), BRANCH), np.tile(b.column("label").to_numpy(), BRANCH)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kids).view(np.int64)), pa.array(rep), pa.array(label)], names=["key", "rep", "label"])
+def _branched(level: int):
+    def run(batches):
+        for b in batches:
+            yield from _dealt(b, b.column("key").to_numpy().view(np.uint64), _sigs(b.column("sig")), b.column("label"), level)
+
+    return run
+
+
+def _dealt(b: pa.RecordBatch, keys: np.ndarray, sigs: np.ndarray, label: pa.Array, level: int) -> Iterator[pa.RecordBatch]:
+    for rows, kids in _children(keys, sigs, level):
+        at = pa.array(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(kids.view(np.int64)), b.column("rep").take(at), label.take(at), b.column("octets").take(at)], names=["key", "rep", "label", "octets"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
@@ -257,72 +285,102 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of pivot and member with both texts -> those that are linked. Sorted by pivot, whose set is made once."""
-    last, known = None, None
+    """Texts of pivots, each before those of its members -> the pairs that are linked."""
+    known = None
     for b in batches:
-        pivots = b.column("pivot").to_pylist()
+        first, pivots, reps = b.column("first").to_pylist(), b.column("pivot"), b.column("rep")
         keep = []
         for i, s in shingle_sets(b.column("text"), K):
-            if pivots[i] != last:
-                last = pivots[i]
-                known = next(s for _, s in shingle_sets(b.column("pivot_text").slice(i, 1), K))
-            keep.append(bool(links([known, s])))
-        yield b.select(["pivot", "rep"]).filter(pa.array(keep, pa.bool_()))
+            if first[i]:
+                known = s
+            elif links([known, s]):
+                keep.append(i)
+        at = pa.array(keep, pa.int64())
+        yield pa.RecordBatch.from_arrays([pivots.take(at), reps.take(at)], names=["pivot", "rep"])
+    give_back()
 
 
 def _picked(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """The texts whose doc_id is among ids (a column called rep), picked before any shuffle where ids are few enough to send."""
     ids = cut(ids.select(F.col("rep").alias("_id")).distinct())
-    few = ids.count() <= SENT_IDS
-    return texts.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("_id"), "left_semi")
+    return texts.join(_sent(ids), F.col("doc_id") == F.col("_id"), "left_semi")
+
+
+def _sent(small: DataFrame) -> DataFrame:
+    """A checkpointed table, to be sent to all executors if it is small enough."""
+    return F.broadcast(small) if small.count() <= SENT_IDS else small
 
 
 def _near_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of pivot and member, without those far apart by the embedding or by size."""
+    """Embeddings of pivots, each before those of its members -> the pairs not far apart by the embedding or by size."""
+    sig, n = np.zeros((1, WIDTH), np.uint32), np.zeros(1, np.int64)
     for b in batches:
         if b.num_rows:
-            near = (_sigs(b.column("sig")) == _sigs(b.column("pivot_sig"))).sum(axis=1) >= FAR
-            near &= _like(b.column("n_shingles").to_numpy(), b.column("pivot_n").to_numpy())
+            first = b.column("first").to_numpy(zero_copy_only=False)
+            sigs, sizes = _sigs(b.column("sig")), b.column("n_shingles").to_numpy()
+            sig, n = np.concatenate([sig[-1:], sigs[first]]), np.concatenate([n[-1:], sizes[first]])
+            of = np.cumsum(first)
+            near = (sigs == sig[of]).sum(axis=1) >= FAR
+            near &= _like(sizes, n[of]) & ~first
             yield b.select(["pivot", "rep"]).filter(pa.array(near))
 
 
+def _met(pairs: DataFrame, about: DataFrame, compared) -> DataFrame:
+    """The pairs (pivot, rep) that compared() keeps. about: rep and what is compared.
+
+    A pivot with many members meets them in parts of PART, each in the order pivot, members: what is known of a
+    pivot is sent once for each part and never beside every member.
+    """
+    columns = [c for c in about.columns if c != "rep"]
+    parts = _sent(cut(pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts"))))
+    members = pairs.join(parts, "pivot").join(about, "rep").select("pivot", F.pmod(F.xxhash64("rep"), "parts").alias("part"), F.lit(False).alias("first"), "rep", *columns)
+    heads = parts.join(about.withColumnRenamed("rep", "pivot"), "pivot").select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(True).alias("first"), F.col("pivot").alias("rep"), *columns)
+    rows = heads.unionByName(members).repartition("pivot", "part").sortWithinPartitions("pivot", "part", F.desc("first"), "rep")
+    return cut(rows.mapInArrow(compared, "pivot long, rep long"))
+
+
 def _settle(big: DataFrame, reps: DataFrame, texts: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
     """Compares the pivot of each large node with its members: (verified links, the other rows with their labels)."""
-    pair = "pivot long, rep long"
-    pivots = big.groupBy("key").agg(F.min_by("rep", F.struct(F.col("label") != F.col("rep"), F.xxhash64(F.lit(level), "rep"), "rep")).alias("pivot"))
-    rows = big.join(pivots, "key")
-    pairs = rows.filter("rep <> pivot AND label <> pivot").select("pivot", "rep").distinct()
-    pivot_of = reps.select(F.col("rep").alias("pivot"), F.col("n_shingles").alias("pivot_n"), F.col("sig").alias("pivot_sig"))
-    pairs = cut(pairs.join(reps, "rep").join(pivot_of, "pivot").mapInArrow(_near_pivot, pair))
-    # What is near has both texts brought together, one pair to a row.
-    texts = _picked(texts, pairs.select("rep").unionByName(pairs.select(F.col("pivot").alias("rep"))))
-    both = pairs.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep").join(texts.select(F.col("doc_id").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
-    linked = cut(both.select("pivot", "rep", "text", "pivot_text").sortWithinPartitions("pivot", "rep").mapInArrow(_starred, pair))
+    pivots = cut(big.groupBy("key").agg(F.min_by("rep", F.struct(F.col("label") != F.col("rep"), F.xxhash64(F.lit(level), "rep"), "rep")).alias("pivot")))
+    rows = big.join(_sent(pivots), "key")
+    pairs = cut(rows.filter("rep <> pivot AND label <> pivot").select("pivot", "rep").distinct())
+    near = _met(pairs, reps.select("rep", "n_shingles", "sig"), _near_pivot)
+    said = _picked(texts, near.select("rep").unionByName(near.select(F.col("pivot").alias("rep"))))
+    linked = _met(near, _one_each(said), _starred)
     rest = rows.filter("rep <> pivot").join(linked.withColumn("hit", F.lit(True)), ["pivot", "rep"], "left")
-    rest = rest.select("key", "rep", F.when(F.col("hit"), F.col("pivot")).otherwise(F.col("label")).alias("label"))
+    rest = rest.select("key", "rep", F.when(F.col("hit"), F.col("pivot")).otherwise(F.col("label")).alias("label"), "octets")
     return linked.select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")), cut(rest)
 
 
-def verified_links(reps: DataFrame, texts: DataFrame, leaf: int = LEAF) -> tuple[DataFrame, list[str]]:
-    """A spanning set of the links between classes: (a, b). reps: stored rep, n_shingles, sig; texts: doc_id, text."""
-    node = "key long, rep long, label long"
-    rows = reps.select("rep", "sig").mapInArrow(_rooted, node)
+def _one_each(texts: DataFrame) -> DataFrame:
+    return texts.select(F.col("doc_id").alias("rep"), "text")
+
+
+def verified_links(reps: DataFrame, texts: DataFrame, leaf: int = LEAF, leaf_bytes: int = LEAF_BYTES) -> tuple[DataFrame, list[str]]:
+    """A spanning set of the links between classes: (a, b). reps: stored rep, n_shingles, sig, octets; texts: doc_id, text."""
+    rows = reps.select("rep", "sig", "octets").mapInArrow(_rooted, NODE)
     leaves, found, paths, level = [], [], [], 0
     while True:
         rows, path = stored(rows, f"level{level}")
         # A node of one class or of one label is done.
-        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("l1"), F.max("label").alias("l2")).filter("n > 1 AND l1 <> l2").select("key", "n")
-        nodes, kept = stored(rows.join(sizes, "key"), f"nodes{level}")
-        dropped(rows.sparkSession, path)
+        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("l1"), F.max("label").alias("l2"), F.sum("octets").alias("size")).filter("n > 1 AND l1 <> l2")
+        sizes = cut(sizes.select("key", ((F.col("n") > leaf) | (F.col("size") > leaf_bytes)).alias("large")))
+        large = sizes.filter("large").select("key")
+        n_large = large.count()
+        large = F.broadcast(large) if n_large <= SENT_IDS else large
+        # Rows of large nodes, which may be most, are not shuffled by their node.
+        others = rows.join(large, "key", "left_anti") if n_large else rows
+        nodes, kept = stored(others.join(sizes.filter("NOT large").select("key"), "key").select("key", "rep", "label"), f"nodes{level}")
         paths.append(kept)
-        leaves.append(nodes.filter(F.col("n") <= leaf).select("key", "rep", "label"))
-        large = nodes.filter(F.col("n") > leaf).select("key", "rep", "label")
-        if large.isEmpty():
+        leaves.append(nodes)
+        if not n_large:
+            dropped(rows.sparkSession, path)
             break
-        sure, rest = _settle(large, reps, texts, level)
+        sure, rest = _settle(rows.join(large, "key", "left_semi"), reps, texts, level)
+        dropped(rows.sparkSession, path)
         found.append(sure)
-        rows = rest.join(reps.select("rep", "sig"), "rep").select("key", "rep", "label", "sig").mapInArrow(_branched, node)
         level += 1
+        rows = rest.join(reps.select("rep", "sig"), "rep").select("key", "rep", "label", "octets", "sig").mapInArrow(_branched(level), NODE)
     nodes = leaves[0]
     for more in leaves[1:]:
         nodes = nodes.unionByName(more)
@@ -331,23 +389,33 @@ def verified_links(reps: DataFrame, texts: DataFrame, leaf: int = LEAF) -> tuple
     groups, path = stored(groups.groupBy("name").agg(F.min("members").alias("members")), "groups")
     paths.append(path)
     members = groups.select("name", F.explode("members").alias("rep"))
-    full = members.join(_picked(texts, members).select(F.col("doc_id").alias("rep"), "text"), "rep").select("name", "rep", "text")
+    full = members.join(_one_each(_picked(texts, members)), "rep").select("name", "rep", "text")
     edges = full.repartition("name").sortWithinPartitions("name", "rep").mapInArrow(_verified, "a long, b long")
     for more in found:
         edges = edges.unionByName(more)
     return edges.distinct(), paths
 
 
+def _with_least(both: DataFrame) -> DataFrame:
+    """both (a, b) and m, the least of a and its neighbours b. That of a node with many edges is sent to them."""
+    least = cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), (F.count(F.lit(1)) > HEAVY).alias("heavy")))
+    heavy = least.filter("heavy").select("a", "m")
+    n = heavy.count()
+    if n == 0 or n > SENT_IDS:
+        return both.join(least.select("a", "m"), "a")
+    light = both.join(F.broadcast(heavy.select("a")), "a", "left_anti").join(least.filter("NOT heavy").select("a", "m"), "a")
+    return light.unionByName(both.join(F.broadcast(heavy), "a"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node that each end of an edge reaches, by large-star and small-star rounds."""
     edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b")))
+        large = cut(_with_least(both).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct())
+        down = _with_least(large).select("a", "b", "m")  # here all b are below a
+        small = down.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b")))
         edges = cut(small.distinct())
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if before is not None and tuple(now) == before:
@@ -369,7 +437,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     classes = all_rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     classes, named = stored(classes, "classes")
     own = classes.select("rep", F.col("h1").alias("r1"), F.col("h2").alias("r2"))
-    reps = all_rows.join(own, (F.col("doc_id") == F.col("rep")) & (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2"))).select("rep", "n_shingles", "sig").dropDuplicates(["rep"])
+    reps = all_rows.join(own, (F.col("doc_id") == F.col("rep")) & (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2"))).select("rep", "n_shingles", "sig", "octets").dropDuplicates(["rep"])
     reps, at = stored(reps, "reps")
     edges, paths = verified_links(reps, docs.filter("doc_id IS NOT NULL AND text IS NOT NULL"), leaf)
     of = components(edges)

@@ -219,6 +219,55 @@ def test_near_duplicates_against_brute_force(spark, leaf):
     assert got == brute_components(rows)
 
 
+def test_templates_below_the_threshold_stay_few_rows():
+    # 20,000 classes, any two of which share 65 to 72 % of their tokens: at most 20 rows a class at any level.
+    rng = np.random.default_rng(12)
+    template = rng.integers(0, 2**32, neardup.WIDTH, dtype=np.uint32)
+    sigs = np.where(rng.random((20_000, neardup.WIDTH)) < 0.83, template, rng.integers(0, 2**32, (20_000, neardup.WIDTH), dtype=np.uint32)).astype(np.uint32)
+    reps = pa.RecordBatch.from_arrays([pa.array(range(len(sigs)), pa.int64()), pa.array([r.tobytes() for r in sigs], pa.binary()), pa.array([100] * len(sigs), pa.int64())], names=["rep", "sig", "octets"])
+    rows, counts = pa.Table.from_batches(neardup._rooted([reps])), []
+    for level in range(1, 16):
+        counts.append(rows.num_rows)
+        keys = rows.column("key").to_numpy()
+        _, of, size = np.unique(keys, return_inverse=True, return_counts=True)
+        large = np.flatnonzero(size[of] > neardup.LEAF)
+        if not len(large):
+            break
+        part = rows.take(pa.array(large)).combine_chunks().to_batches()[0]
+        part = part.append_column("sig", pa.array([sigs[r].tobytes() for r in part.column("rep").to_pylist()], pa.binary()))
+        rows = pa.Table.from_batches(neardup._branched(level)([part]))
+    assert len(counts) < 15 and max(counts) <= 20 * len(sigs), counts
+
+
+def test_near_duplicates_at_the_threshold_are_found(spark):
+    # Pairs at 0.75 to 0.80, among templates, with nodes cut so small that trees are several levels deep.
+    rng = np.random.default_rng(13)
+    base, rows = [f"t{i}" for i in range(60)], []
+    for n in range(150):
+        own = base + [f"o{n}x{i}" for i in range(60)]
+        other = own[:-15] + [f"p{n}x{i}" for i in range(15)]
+        rows += [(2 * n, " ".join(own)), (2 * n + 1, " ".join(other))]
+    true = brute_components(rows)
+    pairs = [n for n in range(150) if true[2 * n + 1][1] == true[2 * n][1]]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(spark, rows), leaf=20).collect()}
+    hit = sum(got[2 * n] == got[2 * n + 1] for n in pairs)
+    assert len(pairs) == 150 and hit >= 0.9 * len(pairs) and all(got[i] >= true[i][1] for i in got), hit
+
+
+def test_heavy_nodes_and_long_texts_are_settled_apart(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HEAVY", 5)
+    monkeypatch.setattr(neardup, "PART", 7)
+    said = " ".join(f"w{i}" for i in range(300))
+    rows = [(i, f"{said} x{i}") for i in range(60)] + [(100 + i, f"y{i} " + " ".join(f"v{j}" for j in range(50))) for i in range(3)]
+    texts_ = frame(spark, rows)
+    monkeypatch.setattr(neardup, "LEAF_BYTES", 1500)  # any two of the long texts are too large a node
+    monkeypatch.setattr(neardup.verified_links, "__defaults__", (neardup.LEAF, 1500))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(texts_).collect()}
+    assert got == brute_components(rows)
+    edges = spark.createDataFrame([(0, i) for i in range(1, 40)] + [(i, 100 + i) for i in range(40)], "a long, b long")
+    assert {r.component for r in neardup.components(edges).collect()} == {0}
+
+
 def test_near_duplicates_without_ids_and_rows(spark):
     assert neardup.near_duplicates(frame(spark, [])).collect() == []
     rows = {(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(frame(spark, [(None, "a b c d e f"), (4, "a b c d e f"), (3, "A b c d e f"), (3, "A b c d e f")])).collect()}
