@@ -40,7 +40,7 @@ EVIDENCE = 2.0  # how much oftener in other toxic documents a run of a word's le
 SAMPLE, SAMPLE_CHARS = 3_000, 12_000_000
 THRESHOLD = 0.3
 LONGEST = 32  # letters of a word scored at once; longer words are scored in overlapping parts
-JOINED = 20  # characters of a string with inner punctuation or digits that is read as one word
+JOINED = 20  # characters up to which a string with inner punctuation or digits is read as one word alone
 _BITS = 21
 _SHAPES = [(n, offs, DECAY ** (offs[-1] - n + 1)) for n in ORDERS for rest in combinations(range(1, SPAN), n - 1) for offs in [(0, *rest)]]
 _MULT = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F)]
@@ -48,16 +48,24 @@ _MULT = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F)]
 # Characters often written for letters.
 _ALIKE = str.maketrans("013457@$", "oieastas")
 _NOT_LETTER = re.compile(r"[\W_]+")
+_KEY = re.compile(r"(?=[a-f]*[0-9])[0-9a-f]{16,}")
 
 
-def normal(word: str) -> str:
-    """A word as it is scored: lower case, borders stripped, look-alikes inside read as letters."""
+def normal(word: str) -> list[str]:
+    """What is scored of a string: lower case, borders stripped, look-alikes inside read as letters, inner punctuation out.
+
+    A string of more than JOINED characters with punctuation inside, which may be a whole sentence, gives its runs
+    of letters and all of them joined. Only keys and hashes, 16 hexadecimal digits or more, are no words.
+    """
     word = word.lower().strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
     if word.isalpha():
-        return word
-    if len(word) > JOINED or not any(c.isalpha() for c in word):  # addresses and numbers aren't disguised words
-        return ""
-    return _NOT_LETTER.sub("", word.translate(_ALIKE))
+        return [word]
+    if not any(c.isalpha() for c in word):  # numbers aren't disguised words
+        return []
+    if len(word) <= JOINED:
+        return [_NOT_LETTER.sub("", word.translate(_ALIKE))]
+    runs = [r for r in _NOT_LETTER.split(_KEY.sub(" ", word).translate(_ALIKE)) if any(c.isalpha() for c in r)]
+    return list(dict.fromkeys([r for r in runs if len(r) > 1] + (["".join(runs)] if len(runs) > 1 else [])))
 
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -118,18 +126,19 @@ class Model:
 def word_list(text: str) -> set[str]:
     """The strings of a text that are scored."""
     raw = [normal(w) for w in text.split()]
-    out = {sys.intern(p) for w in raw if len(w) > 1 for p in parts(w)}  # documents share most of their words
+    out = {sys.intern(p) for found in raw for w in found if len(w) > 1 for p in parts(w)}  # documents share most of their words
     for run in _single_runs(raw):
         out.update(parts(run))
     return out
 
 
-def _single_runs(words: list[str]) -> Iterator[str]:
+def _single_runs(words: list[list[str]]) -> Iterator[str]:
+    """Letters that stand by themselves, three or more in a row, joined. Strings without letters between them don't count."""
     run: list[str] = []
-    for w in [*words, "  "]:
-        if len(w) == 1:
-            run.append(w)
-        elif w:
+    for found in [*words, ["  "]]:
+        if len(found) == 1 and len(found[0]) == 1:
+            run.append(found[0])
+        elif found:
             if len(run) >= 3:
                 yield "".join(run)
             run = []
@@ -366,20 +375,22 @@ def _tops(model: Model, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     _, first, back = np.unique(words.hashes, return_index=True, return_inverse=True)
     raw = [normal(data[s:e].tobytes().decode("utf-8", "replace")) for s, e in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)]
     strings, owner = [], []
-    for i, w in enumerate(raw):
-        if len(w) > 1:
-            for p in parts(w):
-                strings.append(p)
-                owner.append(i)
+    for i, found in enumerate(raw):
+        for w in found:
+            if len(w) > 1:
+                for p in parts(w):
+                    strings.append(p)
+                    owner.append(i)
     value = np.full(len(raw), -2.0)
     for i in range(0, len(strings), 50_000):
         np.maximum.at(value, owner[i : i + 50_000], model.margins(strings[i : i + 50_000]))
     each = value[back]
     full = np.flatnonzero(words.of[1:] > words.of[:-1])
     out[full] = np.maximum.reduceat(each, words.of[full])
-    # Runs of at least three single letters.
-    single = np.array([len(w) == 1 for w in raw])[back]
-    for doc in np.unique(np.searchsorted(words.of, np.flatnonzero(single[:-2] & single[1:-1] & single[2:]), side="right") - 1).tolist():
+    # Runs of at least three single letters, whatever without letters stands between them.
+    said = np.flatnonzero(np.array([len(found) > 0 for found in raw])[back])
+    single = np.array([len(found) == 1 and len(found[0]) == 1 for found in raw])[back][said]
+    for doc in np.unique(np.searchsorted(words.of, said[np.flatnonzero(single[:-2] & single[1:-1] & single[2:])], side="right") - 1).tolist():
         a, b = words.of[doc], words.of[doc + 1]
         runs = [p for run in _single_runs([raw[j] for j in back[a:b]]) for p in parts(run)]
         if runs:

@@ -334,6 +334,47 @@ def test_toxicity_held_out_accuracy_and_tolerance(spark):
     assert got[900].score == got[901].score == min(r.score for r in got.values())
 
 
+def test_toxicity_scores_all_of_a_string():
+    assert toxicity.normal("I.d-i.o_t!") == ["idiot"] and toxicity.normal("2024-01-01") == [] and toxicity.normal("(Word)") == ["word"]
+    assert toxicity.normal("you,stupid,idiot,go,away") == ["you", "stupid", "idiot", "go", "away", "youstupididiotgoaway"]
+    assert toxicity.normal("i.d.i.o.t.i.c.m.o.r.o.n") == ["idioticmoron"]
+    assert toxicity.normal("你好，世界，你真的是一个很坏的人，走开，不要回来") == ["你好", "世界", "你真的是一个很坏的人", "走开", "不要回来", "你好世界你真的是一个很坏的人走开不要回来"]
+    assert toxicity.normal("password=e3b3ed3cc8548923d6") == ["password"]
+    rng = np.random.default_rng(1)
+    model = toxicity.train(labelled(rng, 120, True) + labelled(rng, 400, False))
+    tops = lambda *said: [toxicity._tops(model, data, bounds).tolist() for _, data, bounds in texts(pa.array(said))][0]
+    calm, *found = tops("the er on", "the,er,on,an,re,he,in,ed,blockhead,nd,ha,at," * 5, "b - l - o - c - k - h - e - a - d", "b.l.o.c.k.h.e.a.d.b.l.o.c.k.h.e.a.d", "x" * 100 + "-blockhead-" + "y" * 100)
+    assert all(model.probability(np.array(found)) >= 0.3) and model.probability(np.array([calm]))[0] < 0.3
+    # Scores of a text are those of its strings, the slow way.
+    said = "the er dimmwitted on. i d i o t numb-skull, 12 " + "anre" * 30
+    assert abs(tops(said)[0] - max(model.margins(sorted(toxicity.word_list(said))))) < 1e-9
+
+
+def subsequence_kernel(a, b):
+    """The kernel by its definition: common subsequences of three and four letters, gaps bounded, each skipped letter weighing DECAY."""
+
+    def found(w):
+        w, out = f"\0{w}\0", {}
+        for n in toxicity.ORDERS:
+            for at in combinations(range(len(w)), n):
+                if at[-1] - at[0] < toxicity.SPAN:
+                    key = "".join(w[i] for i in at)
+                    out[key] = out.get(key, 0) + toxicity.DECAY ** (at[-1] - at[0] + 1 - n)
+        return out
+
+    fa, fb = found(a), found(b)
+    norm = lambda w: np.sqrt(toxicity.SOFT + sum(toxicity.DECAY ** (2 * (at[-1] - at[0] + 1 - n)) for n in toxicity.ORDERS for at in combinations(range(len(w) + 2), n) if at[-1] - at[0] < toxicity.SPAN))
+    return sum(v * fb.get(k, 0) for k, v in fa.items()) / norm(a) / norm(b)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text(alphabet="abcé", min_size=2, max_size=9), min_size=2, max_size=4, unique=True))
+def test_the_kernel_by_its_definition(words):
+    columns, rows = toxicity._landmark_table(words)
+    got = toxicity._kernel_features(words, columns, rows)
+    assert np.allclose(got, [[subsequence_kernel(a, b) for b in words] for a in words])
+
+
 def test_toxicity_without_a_class_and_without_rows(spark):
     rng = np.random.default_rng(2)
     model = toxicity.train(labelled(rng, 5, False))
