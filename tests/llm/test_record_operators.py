@@ -274,8 +274,11 @@ def test_warc_of_an_empty_table(spark):
 # Nearest neighbours
 
 
-def test_neighbours_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("sample, heavy", [(20_000, 10_000), (200, 2)])
+def test_neighbours_against_brute_force(spark, monkeypatch, sample, heavy):
     monkeypatch.setattr(ann, "GROUP_ROWS", 300)
+    monkeypatch.setattr(ann, "SAMPLE", sample)
+    monkeypatch.setattr(ann, "HEAVY", heavy)
     rng = np.random.default_rng(4)
     x = np.concatenate([rng.normal(size=(20, 8)).repeat(60, axis=0) + rng.normal(size=(1200, 8)) * 0.3, np.tile(rng.normal(size=8), (700, 1))]).astype(np.float32)
     rows = [(i, [float(v) for v in r], "a") for i, r in enumerate(x)] + [(5000, None, ""), (5050, [0.0] * 8, ""), (5100, [float("nan")] + [1.0] * 7, ""), (5150, [None] + [1.0] * 7, ""), (5200, [1.0] * 3, ""), (None, [1.0] * 8, "")]
@@ -296,6 +299,28 @@ def test_neighbours_against_brute_force(spark, monkeypatch):
     assert len(got) == 38 and hit >= 0.9 * 380
 
 
+@pytest.mark.parametrize("n", [2_000, 20_000])
+def test_leaves_and_visits_stay_small_as_rows_grow(spark, monkeypatch, n):
+    monkeypatch.setattr(ann, "SAMPLE", 1_000)
+    seen = {}
+    visits, deepened = ann._visits, ann._deepened
+    monkeypatch.setattr(ann, "_visits", lambda tree, *rest: seen.setdefault("visits", visits(tree, *rest)))
+    monkeypatch.setattr(ann, "_deepened", lambda tree, index, counts, seed: seen.update(counts=counts) or deepened(tree, index, counts, seed))
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(50, 16))[rng.integers(0, 50, n)] + rng.normal(size=(n, 16)) * 0.4
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.neighbours(df, lambda v: v % 100 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q in range(0, n, 100):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hit += len(got[q] & set(np.argsort(d)[:10].tolist()))
+    assert hit >= 0.9 * 10 * len(got) and len(got) == n // 100
+    assert max(seen["counts"].values()) <= ann.FULL and seen["visits"] * ann.LEAF < 0.5 * n
+
+
 def test_neighbours_of_few_rows(spark):
     assert ann.neighbours(spark.createDataFrame([], "vec_id long, embedding array<float>"), lambda v: v == 0).collect() == []
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [2.0, 0.0])], "vec_id long, embedding array<double>")
