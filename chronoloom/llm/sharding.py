@@ -22,6 +22,7 @@ from chronoloom.llm._shared import SENT_IDS, cut
 
 BUCKET_BYTES = 64 << 20
 HAND = 64
+TASKS = 20_000  # tasks that the buckets are dealt to, at most
 GROUP = 4096  # buckets whose running sum is one task's
 
 
@@ -108,7 +109,7 @@ def _placed(df: DataFrame, seed: int, bucket_bytes: int) -> tuple[DataFrame, int
     first = F.broadcast(first) if n <= SENT_IDS else first
     # Scatter, then shuffle each bucket's hands; rows meet by bucket, which holds for hands and running sums as well.
     hand = (
-        dealt.repartition("_bucket")
+        dealt.repartition(min(n, TASKS), "_bucket")
         .groupBy("_bucket", "_hand")
         .agg(_sorted(F.collect_list(F.struct("_deal", F.xxhash64(F.lit(2), *hashed).alias("_deal2"), "_copy", F.struct(*columns).alias("row"))), schema).alias("_rows"))
         .withColumn("_n", F.size("_rows"))
