@@ -222,15 +222,14 @@ def content_changes(spark, sf_dir):
 
 
 @query(
-    f"""WITH {FRAMES}, w AS (SELECT asset_id, t, unnest([greatest(0.0, t - 15), t + 15]) AS q, unnest([0, 1]) AS side FROM fr WHERE CAST(t AS BIGINT) % 7 = 0),
+    f"""WITH {FRAMES}, w AS (SELECT asset_id, t, unnest([greatest(0.0, t - 15), t + 15]) AS q, unnest([0, 1]) AS side FROM fr),
 m AS (SELECT w.asset_id, w.t, side, arg_min(f.thumb, f.t) AS v FROM w LEFT JOIN fr f ON f.asset_id = w.asset_id AND f.t >= w.q GROUP BY 1, 2, 3),
 b AS (SELECT asset_id, t, any_value(v) FILTER (side = 0) AS b, any_value(v) FILTER (side = 1) AS a FROM m GROUP BY 1, 2)
 SELECT asset_id, t FROM b WHERE a IS NULL OR b IS NULL OR {tile_max("b", "a")} > 0.2"""
 )
 def confirm_transitions(spark, sf_dir):
     f = B.frames(spark, sf_dir)
-    asked = f.filter(F.col("t").cast("long") % 7 == 0)
-    return joins.confirmed(asked, f.withColumnRenamed("thumb", "value"), lambda b, a: F.array_max(detectors.deltas(b, a, B.SIDE, B.TILE)), span=15.0, level=0.2)
+    return joins.confirmed(f, f.withColumnRenamed("thumb", "value"), lambda b, a: F.array_max(detectors.deltas(b, a, B.SIDE, B.TILE)), span=15.0, level=0.2)
 
 
 SCORED = f"""{FRAMES}, lg AS (SELECT asset_id, t, thumb, lag(thumb) OVER (PARTITION BY asset_id ORDER BY t) AS before FROM fr),
@@ -298,18 +297,40 @@ def dedup_gate(spark, sf_dir):
     return pipelines.dedup_gate(scored, 0.18).select("asset_id", F.round("floor", 6).alias("floor"), "gated")
 
 
+@query(
+    f"""WITH {last_kept(0.25)}, lg AS (SELECT asset_id, t, thumb, lag(thumb) OVER (PARTITION BY asset_id ORDER BY t) AS before FROM fr),
+sc AS (SELECT asset_id, t, {tile_max("thumb", "before")} AS change_score FROM lg WHERE before IS NOT NULL),
+s AS (SELECT asset_id, list(change_score ORDER BY change_score) AS l, count(*) AS pairs FROM sc GROUP BY 1),
+g AS (SELECT asset_id, l[CAST(round_even(0.25 * (pairs - 1), 0) AS BIGINT) + 1] >= 0.25 AS gated FROM s)
+SELECT asset_id, t, gated FROM k JOIN g USING (asset_id) WHERE kept OR gated"""
+)
+def dedup_gated(spark, sf_dir):
+    return pipelines.dedup(B.frames(spark, sf_dir), 0.25, B.SIDE, B.TILE).filter("kept").select("asset_id", "t", "gated")
+
+
+def transitions_for(spark, sf_dir):
+    """Cuts and samples of the frames' own changes; its method labels are tested by hand."""
+    f = B.frames(spark, sf_dir)
+    assets = f.groupBy("asset_id").agg(F.max("t").alias("duration"))
+    raw = detectors.change_scores(f, B.SIDE, B.TILE).filter("change_score > 0.5").select("asset_id", "t")
+    return pipelines.transitions_for(assets, raw, detectors.content_changes(f, 0.0, 0.2, B.SIDE, B.TILE, interval=10.0), f, B.SIDE, B.TILE, span=15.0, level=0.2)
+
+
+QUERIES["transitions_for"] = transitions_for
+
+
 # ---------------------------------------------------------------- captions
 
 
 def caption_cues(spark, sf_dir):
     d = B.table(spark, sf_dir, "documents")
     lines = d.select(F.col("doc_id").cast("string").alias("asset_id"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return lines.select("asset_id", F.col("pos").cast("long").alias("seq"), (F.col("pos") * 2.0).alias("start_s"), (F.col("pos") * 2.0 + 2.0).alias("end_s"), F.substring("line", 1, 40).alias("text"))
+    return lines.select("asset_id", F.col("pos").cast("long").alias("seq"), (F.col("pos") * 2.0).alias("start_s"), (F.col("pos") * 2.0 + 2.0).alias("end_s"), F.col("line").alias("text"))
 
 
 @query(
     """WITH RECURSIVE l AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents), cue AS (
-SELECT CAST(doc_id AS VARCHAR) AS asset_id, unnest(range(len(parts))) AS seq, substring(unnest(parts), 1, 40) AS text FROM l),
+SELECT CAST(doc_id AS VARCHAR) AS asset_id, unnest(range(len(parts))) AS seq, unnest(parts) AS text FROM l),
 k AS (SELECT asset_id, seq, 1 AS part, text AS said FROM cue WHERE seq = 0
 UNION ALL SELECT c.asset_id, c.seq, CASE WHEN c.text = k.said OR (starts_with(c.text, k.said) AND length(k.said) > 8) OR (ends_with(k.said, c.text) AND length(c.text) > 8) THEN k.part ELSE k.part + 1 END,
 CASE WHEN c.text = k.said THEN k.said WHEN starts_with(c.text, k.said) AND length(k.said) > 8 THEN c.text WHEN ends_with(k.said, c.text) AND length(c.text) > 8 THEN k.said ELSE c.text END
@@ -663,12 +684,12 @@ def vendor_resolve(spark, sf_dir):
     return P.resolve(n).select("n_nationkey", "family")
 
 
-COMPARED = ("anthropic", "openai:4o", "openai:5", "gemini", "qwen", "generic")
+COMPARED = ("anthropic", "openai:4o", "openai:5", "gemini", "qwen", "qwen:video")
 
 
 @query(f"WITH {SIZES} " + " UNION ALL ".join(f"SELECT p_partkey, '{f}' AS family, CAST({price(f, 'width', 'height')} AS BIGINT) AS tokens FROM sz" for f in COMPARED))
 def vendor_compare(spark, sf_dir):
-    return P.compare(B.sizes(spark, sf_dir), COMPARED).select("p_partkey", "family", "tokens")
+    return P.compare(B.sizes(spark, sf_dir)).select("p_partkey", "family", "tokens")
 
 
 @query(
@@ -703,6 +724,23 @@ def scan_solver(spark, sf_dir):
     return budget.scan_plan(B.sizes(spark, sf_dir)).select("p_partkey", "tile_width", "sheet_tokens", "fits")
 
 
+@query(
+    f"""WITH {SIZES}, t AS (SELECT *, unnest([320, 256, 204, 163, 130, 104, 96]) AS tile FROM sz), c AS (SELECT *, greatest(1, {price('generic', '(tile + 4) * 5', '(greatest(1, CAST(round_even(tile * height / width, 0) AS INTEGER)) + 4) * 5')}) AS cost FROM t),
+b AS (SELECT p_partkey, max(tile) FILTER (cost <= 3000) AS tile FROM c GROUP BY 1),
+f AS (SELECT p_partkey, tile, CAST(cost AS BIGINT) AS cost, 30.0 + p_partkey % 400 AS d, CAST(greatest(4, least(200, floor(3000 / cost) * 25)) AS BIGINT) AS cap FROM b JOIN c USING (p_partkey, tile)),
+e AS (SELECT p_partkey, round(i * (d / (cap - 1)), 3)::DOUBLE AS t FROM (SELECT *, unnest(range(cap)) AS i FROM f) UNION SELECT p_partkey, 1.0::DOUBLE FROM f),
+r AS (SELECT p_partkey, t, row_number() OVER (PARTITION BY p_partkey ORDER BY t) - 1 AS place, count(*) OVER (PARTITION BY p_partkey) AS n FROM e),
+k AS (SELECT DISTINCT p_partkey, least(n - 1, CASE WHEN n <= cap THEN i ELSE CAST(round_even(i * ((n - 1) / (cap - 1)), 0) AS BIGINT) END) AS place FROM (SELECT f.p_partkey, cap, n, unnest(range(cap)) AS i FROM f JOIN (SELECT DISTINCT p_partkey, n FROM r) USING (p_partkey))),
+m AS (SELECT p_partkey, (row_number() OVER (PARTITION BY p_partkey ORDER BY t) - 1) // 25 AS sheet, t FROM r JOIN k USING (p_partkey, place))
+SELECT CAST(p_partkey AS VARCHAR) AS asset_id, CAST(sheet AS BIGINT) AS sheet, CAST(tile AS INTEGER) AS tile_width, count(*) AS n, 5 AS cols, 5 AS "rows", cost AS tokens, round(min(t), 3) AS first_t, round(max(t), 3) AS last_t
+FROM m JOIN f USING (p_partkey) GROUP BY p_partkey, sheet, tile, cost"""
+)
+def scan(spark, sf_dir):
+    a = B.sizes(spark, sf_dir).select(F.col("p_partkey").cast("string").alias("asset_id"), "width", "height", F.lit(0.0).alias("start_s"), (30.0 + F.col("p_partkey") % 400).alias("end_s"))
+    out = pipelines.scan(a, a.select("asset_id", F.lit(1.0).alias("t")))
+    return out.select("asset_id", "sheet", F.col("tile_width").cast("int").alias("tile_width"), F.size("times").cast("long").alias("n"), "cols", "rows", "tokens", F.round(F.array_min("times"), 3).alias("first_t"), F.round(F.array_max("times"), 3).alias("last_t"))
+
+
 @query(
     f"""WITH {SIZES}, p AS (SELECT *, {price('generic', 'width', 'height')} AS e, 10 + p_partkey % 60 AS frames FROM sz)
 SELECT p_partkey, CAST(e * frames AS BIGINT) AS tokens, e * frames > 20000 AS "over", CAST(greatest(1, floor(20000 / greatest(1, e))) AS BIGINT) AS affordable, greatest(1, floor(20000 / greatest(1, e))) / 2.0 AS window_s FROM p"""
@@ -784,16 +822,17 @@ def transcript_reuse(spark, sf_dir):
 
 
 @query(
-    """WITH f AS (SELECT l_orderkey, CASE l_linenumber WHEN 1 THEN 'captions' WHEN 2 THEN 'embedded' WHEN 3 THEN 'asr' WHEN 4 THEN 'cached' END AS source, CASE WHEN l_returnflag = 'N' THEN 0 ELSE l_linenumber + 3 END AS segments, l_orderkey % 3 > 0 AS use_asr, l_orderkey % 5 > 0 AS has_audio FROM lineitem WHERE l_linenumber <= 4),
+    """WITH f AS (SELECT l_orderkey, CASE l_linenumber % 4 WHEN 1 THEN 'captions' WHEN 2 THEN 'embedded' WHEN 3 THEN 'asr' ELSE 'cached' END AS source, sum(CASE WHEN l_returnflag = 'N' THEN 0 ELSE l_linenumber + 3 END) AS segments, l_orderkey % 3 > 0 AS use_asr, l_orderkey % 5 > 0 AS has_audio FROM lineitem GROUP BY ALL),
 r AS (SELECT *, CASE source WHEN 'cached' THEN 1 WHEN 'captions' THEN 2 WHEN 'embedded' THEN 3 ELSE 6 END AS k, segments > 0 AND (source <> 'asr' OR (use_asr AND has_audio)) AS ok FROM f)
 SELECT CAST(l_orderkey AS VARCHAR) AS asset_id, coalesce(arg_min(source, k) FILTER (ok), CASE WHEN NOT any_value(use_asr) THEN 'none' WHEN NOT any_value(has_audio) THEN 'no audio track' ELSE 'asr' END) AS source,
 CAST(coalesce(arg_min(segments, k) FILTER (ok), 0) AS BIGINT) AS segments, coalesce(bool_or(ok), false) AS stored FROM r GROUP BY l_orderkey"""
 )
 def transcript_priority(spark, sf_dir):
-    li = B.table(spark, sf_dir, "lineitem").filter("l_linenumber <= 4")
-    names = F.array(*[F.lit(x) for x in ("captions", "embedded", "asr", "cached")])
+    li = B.table(spark, sf_dir, "lineitem")
+    names = F.array(*[F.lit(x) for x in ("cached", "captions", "embedded", "asr")])
     key = F.col("l_orderkey")
-    found = li.select(key.cast("string").alias("asset_id"), F.element_at(names, F.col("l_linenumber")).alias("source"), F.when(F.col("l_returnflag") == "N", 0).otherwise(F.col("l_linenumber") + 3).alias("segments"), (key % 3 > 0).alias("use_asr"), (key % 5 > 0).alias("has_audio"))
+    found = li.select(key.cast("string").alias("asset_id"), F.element_at(names, (F.col("l_linenumber") % 4 + 1).cast("int")).alias("source"), F.when(F.col("l_returnflag") == "N", 0).otherwise(F.col("l_linenumber") + 3).alias("segments"), (key % 3 > 0).alias("use_asr"), (key % 5 > 0).alias("has_audio"))
+    found = found.groupBy("asset_id", "source", "use_asr", "has_audio").agg(F.sum("segments").alias("segments"))
     return cache.chosen_transcript(found)
 
 

@@ -13,6 +13,10 @@ EDGES = {"anthropic": 1568, "anthropic:hires": 2576, "openai:4o": 1536, "openai:
 ALIASES = {"claude": "anthropic", "openai": "openai:4o", "gpt": "openai:4o", "openai:4.1": "openai:4o", "google": "gemini", "qwen3-vl": "qwen"}
 
 
+# The families that are compared.
+COMPARED = ("anthropic", "openai:4o", "openai:5", "gemini", "qwen", "qwen:video")
+
+
 def patches(width: Column, height: Column, side: int) -> Column:
     return F.greatest(F.lit(1), F.ceil(width / side)) * F.greatest(F.lit(1), F.ceil(height / side))
 
@@ -63,7 +67,7 @@ def frames_for_budget(budget: Column, price: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(budget / F.greatest(F.lit(1), price))).cast("long")
 
 
-def compare(sizes: DataFrame, families: tuple[str, ...] = ("anthropic", "openai:4o", "openai:5", "gemini", "qwen", "generic")) -> DataFrame:
+def compare(sizes: DataFrame, families: tuple[str, ...] = COMPARED) -> DataFrame:
     """A row for each row of sizes (width, height) and family."""
     each = F.array(*[F.struct(F.lit(f).alias("family"), tokens(F.col("width"), F.col("height"), f).alias("tokens")) for f in families])
     return sizes.withColumn("_p", each).select(*sizes.columns, F.explode("_p").alias("_p")).select(*sizes.columns, "_p.family", "_p.tokens")

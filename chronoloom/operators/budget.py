@@ -33,21 +33,23 @@ def read_size(assets: DataFrame, family: str = "generic", most: int = READ_BUDGE
     return out.withColumn("mode", mode).drop("_best")
 
 
-def _sheet_tokens(tile: Column, sw: Column, sh: Column, cols: Column, rows: Column, family: str) -> Column:
+def sheet_tokens(tile: Column, sw: Column, sh: Column, cols: Column, rows: Column, family: str) -> Column:
     high = F.greatest(F.lit(1), F.bround(tile * sh / sw).cast("int"))
-    return F.greatest(F.lit(1), price.tokens((tile + 4) * cols, (high + 4) * rows, family))
+    size = F.array(F.struct(((tile + 4) * cols).alias("w"), ((high + 4) * rows).alias("h")))  # worked out once: a price names it many times
+    return F.greatest(F.lit(1), F.transform(size, lambda s: price.tokens(s["w"], s["h"], family))[0])
 
 
-def scan_plan(assets: DataFrame, family: str = "generic", tile: int = 320, most: int = SCAN_BUDGET, per_sheet: int = 25) -> DataFrame:
+def scan_plan(assets: DataFrame, family: str = "generic", tile: int = 320, most: int = SCAN_BUDGET, per_sheet: int = 25, grid: tuple[int, int] | None = None) -> DataFrame:
     """Adds tile_width, sheet_tokens, tiles and fits: the tile shrinks by a fifth until one sheet is paid for."""
     widths = [tile]
     while widths[-1] > TILE_LEAST:
         widths.append(max(TILE_LEAST, int(widths[-1] * SHRINK)))
-    n = F.lit(per_sheet)
-    cost = lambda w: _sheet_tokens(w, F.col("width"), F.col("height"), grid_columns(n), grid_rows(n), family)
-    tried = F.array(*[F.lit(w) for w in widths])
-    out = assets.withColumn("tile_width", F.coalesce(F.try_element_at(F.filter(tried, lambda w: cost(w) <= most), F.lit(1)), F.lit(widths[-1])))
-    out = out.withColumn("sheet_tokens", cost(F.col("tile_width"))).withColumn("fits", F.col("sheet_tokens") <= most)
+    per_sheet = grid[0] * grid[1] if grid else per_sheet
+    cols, rows = (F.lit(grid[0]), F.lit(grid[1])) if grid else (grid_columns(F.lit(per_sheet)), grid_rows(F.lit(per_sheet)))
+    cost = lambda w: sheet_tokens(w, F.col("width"), F.col("height"), cols, rows, family)
+    tried = F.transform(F.array(*[F.lit(w) for w in widths]), lambda w: F.struct(w.alias("w"), cost(w).alias("cost")))
+    best = F.transform(F.array(tried), lambda all_: F.coalesce(F.try_element_at(F.filter(all_, lambda x: x["cost"] <= most), F.lit(1)), F.element_at(all_, -1)))[0]
+    out = assets.withColumn("_best", best).withColumn("tile_width", F.col("_best.w")).withColumn("sheet_tokens", F.col("_best.cost")).drop("_best").withColumn("fits", F.col("sheet_tokens") <= most)
     sheets = F.greatest(F.lit(1), F.floor(most / F.col("sheet_tokens")))
     return out.withColumn("tiles", F.when(F.col("fits"), F.greatest(F.lit(4), F.least(F.lit(200), sheets * per_sheet)).cast("int")))
 

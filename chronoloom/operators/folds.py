@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,17 +76,19 @@ def cluster(points: DataFrame, window: float = CLUSTER) -> DataFrame:
 
 
 def merge_hits(hits: DataFrame, window: float = MERGE) -> DataFrame:
-    """Hits (asset_id, t, kind, severity) that lie within window of a cluster's first one, as one.
+    """Hits (asset_id, t, kind, severity, and evidence where there is any) that lie within window of a cluster's first one, as one.
 
-    t is the least, kind the sorted distinct kinds joined by +, severity the highest, hits all of them in order.
+    t is the least, kind the sorted distinct kinds joined by +, severity the highest, hits all of them in order
+    with their evidence.
     """
+    told = ["t", "kind", "severity", *[c for c in ("start_s", "end_s", "evidence") if c in hits.columns]]
     rank = F.when(F.col("severity") == "high", 2).when(F.col("severity") == "medium", 1).otherwise(0)
-    rows = anchored(hits.select("asset_id", "t", "kind", "severity"), window + SLACK, ties=["kind"])
+    rows = anchored(hits.select("asset_id", *told), window + SLACK, ties=["kind"])
     return rows.groupBy("asset_id", "anchor").agg(
         F.min("t").alias("t"),
         F.array_join(F.array_sort(F.collect_set("kind")), "+").alias("kind"),
         F.max_by("severity", rank).alias("severity"),
-        F.array_sort(F.collect_list(F.struct("t", "kind", "severity"))).alias("hits"),
+        F.sort_array(F.collect_list(F.struct(*told))).alias("hits"),
     ).drop("anchor")
 
 
@@ -105,7 +108,7 @@ def dedup_frames(frames: DataFrame, threshold: float, side: int, tile: int) -> D
     if "protected" not in frames.columns:
         frames = frames.withColumn("protected", F.lit(False))
     own = Window.partitionBy("asset_id")
-    marked = frames.repartition("asset_id").withColumn("_n", F.count(F.lit(1)).over(own)).withColumn("_last", F.col("t") == F.max("t").over(own)).withColumn("_odd", F.max((F.coalesce(F.size("thumb"), F.lit(-1)) != side * side).cast("int")).over(own))
+    marked = frames.repartition("asset_id").withColumn("_n", F.count(F.lit(1)).over(own)).withColumn("_last", F.row_number().over(own.orderBy(F.desc("t"), F.desc(F.xxhash64("thumb")))) == 1).withColumn("_odd", F.max((F.coalesce(F.size("thumb"), F.lit(-1)) != side * side).cast("int")).over(own))
 
     def start():
         state: dict = {"asset": object(), "ref": None}
@@ -113,11 +116,12 @@ def dedup_frames(frames: DataFrame, threshold: float, side: int, tile: int) -> D
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
             keep, delta = np.zeros(b.num_rows, dtype=bool), [None] * b.num_rows
             cols = (b.column(c).to_pylist() for c in ("asset_id", "protected", "_n", "_last", "_odd"))
+            pixels, at = b.column("thumb").flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(b.column("thumb")), 0).to_numpy())])
             for i, (asset, protected, n, last, odd) in enumerate(zip(*cols, strict=True)):
                 if n <= 2 or odd:
                     keep[i] = True
                     continue
-                thumb = np.array(b.column("thumb")[i].as_py(), dtype=np.float64)
+                thumb = pixels[at[i] : at[i + 1]].astype(np.float64)
                 first = asset != state["asset"]
                 if not first:
                     delta[i] = float(tile_deltas(thumb, state["ref"], side, tile).max())

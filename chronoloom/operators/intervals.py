@@ -105,7 +105,9 @@ def suppressed(hits: DataFrame, cuts: DataFrame, segments: DataFrame) -> DataFra
     """Adds suppression: why known structure explains a hit, or null. hits: hit_id, asset_id, t, kind, start_s, end_s."""
     at_cut = protected(hits.filter("kind = 'luma-spike'").select("hit_id", "asset_id", "t"), cuts, NEAR_CUT, closed=True).filter("protected").select("hit_id", F.lit("confirmed-scene-cut").alias("suppression"))
     paused = between_segments(hits.filter("kind = 'silence' AND start_s IS NOT NULL AND end_s IS NOT NULL").select("hit_id", "asset_id", "start_s", "end_s"), segments).select("hit_id", F.lit("between-transcript-segments").alias("suppression"))
-    return hits.join(at_cut.unionByName(paused), "hit_id", "left")
+    # Hits that share an id are explained alike, and stay as many as they are.
+    reasons = at_cut.withColumn("kind", F.lit("luma-spike")).unionByName(paused.withColumn("kind", F.lit("silence"))).distinct()
+    return hits.join(reasons, ["hit_id", "kind"], "left").select(*hits.columns, "suppression")
 
 
 def clip(segments: DataFrame, start: float, end: float) -> DataFrame:

@@ -26,20 +26,21 @@ def even_places(n: Column, cap: Column) -> Column:
     return F.when((cap >= n) | (n <= 0), whole).when(cap == 1, F.array(F.lit(0).cast("long"))).otherwise(some)
 
 
-def thin(items: DataFrame, cap: int, order: list[str], asset: str = "asset_id") -> DataFrame:
-    """Evenly thins each asset's rows to cap, the first and the last among them."""
+def thin(items: DataFrame, cap: int | Column, order: list[str], asset: str = "asset_id") -> DataFrame:
+    """Evenly thins each asset's rows to cap, a number or a column, the first and the last among them."""
+    cap = F.lit(cap) if isinstance(cap, int) else cap
     own = Window.partitionBy(asset)
     n = F.count(F.lit(1)).over(own)
     place = F.row_number().over(own.orderBy(*order)) - 1
     numbered = items.withColumn("_n", n).withColumn("_place", place)
     # A place is kept if some i of 0 to cap - 1 rounds to it: only the nearest i on either side can.
-    step = (F.col("_n") - 1) / (cap - 1) if cap > 1 else F.lit(1.0)
+    step = F.when(cap > 1, (F.col("_n") - 1) / F.greatest(F.lit(1), cap - 1)).otherwise(1.0)
     near = F.floor(F.col("_place") / step)
     lands = F.lit(False)
     for d in (-1, 0, 1, 2):
         i = near + d
         lands = lands | ((i >= 0) & (i < cap) & (F.least(F.col("_n") - 1, F.bround(i * step).cast("long")) == F.col("_place")))
-    kept = (F.col("_n") <= cap) | ((F.col("_place") == 0) if cap == 1 else lands)
+    kept = (F.col("_n") <= cap) | F.when(cap == 1, F.col("_place") == 0).otherwise(lands)
     return numbered.filter(kept).drop("_n", "_place")
 
 

@@ -51,6 +51,39 @@ def transitions(assets: DataFrame, cuts: DataFrame, sampled: DataFrame, confirme
     return taken.unionByName(other)
 
 
+def transitions_for(assets: DataFrame, raw_cuts: DataFrame, sampled: DataFrame, frames: DataFrame, side: int, tile: int, span: float = joins.CONFIRM_SPAN, level: float = joins.CONFIRM_LEVEL) -> DataFrame:
+    """asset_id, t, method from raw cuts and sampled content changes (asset_id, t): both are clustered, cuts confirmed.
+
+    Where scene detection is blind (under one cut a minute over at least 15 seconds, and more changes than cuts)
+    the changes are taken. Else a cut must part two different-looking frames (asset_id, t, thumb); where that
+    leaves some but not all, the method tells how many. An asset without duration has a rate of 0.
+    """
+    cuts = folds.cluster(raw_cuts)
+    n, m = (df.groupBy("asset_id").agg(F.count(F.lit(1)).alias(c)) for df, c in ((cuts, "n"), (sampled, "m")))
+    rate = F.when(F.col("duration") > 0, S.per_minute(F.col("n"), F.col("duration"))).otherwise(0.0)
+    plan = assets.join(n, "asset_id", "left").join(m, "asset_id", "left").fillna(0, ["n", "m"])
+    plan = plan.select("asset_id", "n", F.coalesce((F.col("duration") >= 15) & (rate < 1) & (F.col("m") > F.col("n")), F.lit(False)).alias("blind"))
+    seen = cuts.join(plan.filter(~F.col("blind")), "asset_id")
+    sure = joins.confirmed(seen.select("asset_id", "t"), frames.select("asset_id", "t", F.col("thumb").alias("value")), lambda b, a: F.array_max(detectors.deltas(b, a, side, tile)), span, level)
+    c = sure.groupBy("asset_id").agg(F.count(F.lit(1)).alias("c"))
+    judged = seen.join(sure.select("asset_id", "t", F.lit(True).alias("sure")), ["asset_id", "t"], "left").join(c, "asset_id", "left").fillna(0, ["c"])
+    fewer = (F.col("c") > 0) & (F.col("c") < F.col("n"))
+    label = F.when(fewer, F.format_string("scene+confirmed (%d->%d)", "n", "c")).otherwise("scene")
+    scenes = judged.filter(~fewer | F.coalesce("sure", F.lit(False))).select("asset_id", "t", label.alias("method"))
+    other = folds.cluster(sampled.join(plan.filter("blind").select("asset_id"), "asset_id", "left_semi")).select("asset_id", "t", F.lit("content-change").alias("method"))
+    return scenes.unionByName(other)
+
+
+def dedup(frames: DataFrame, threshold: float, side: int, tile: int, gate: bool = True) -> DataFrame:
+    """folds.dedup_frames, and gated: an asset whose noise floor is at or over the threshold keeps all its frames."""
+    judged = folds.dedup_frames(frames, threshold, side, tile)
+    floors = dedup_gate(detectors.change_scores(frames, side, tile), threshold) if gate else None
+    if floors is None:
+        return judged.withColumn("gated", F.lit(False))
+    gated = F.coalesce(F.col("gated"), F.lit(False))
+    return judged.join(floors.select("asset_id", "gated"), "asset_id", "left").withColumn("gated", gated).withColumn("kept", F.col("kept") | F.col("gated"))
+
+
 def dedup_stats(judged: DataFrame) -> DataFrame:
     """candidates, kept, dropped and max_dropped_delta of each asset, from the result of dedup_frames."""
     return judged.groupBy("asset_id").agg(
@@ -79,12 +112,19 @@ def probe(assets: DataFrame, segments: DataFrame, cuts: DataFrame) -> DataFrame:
     return out.withColumn("text_tokens", S.text_tokens(F.col("words"))).withColumn("profile", S.motion_profile(F.col("cuts_per_min"))).withColumn("needs_force", S.needs_force(F.col("duration")))
 
 
-def defects(hits: list[DataFrame], cuts: DataFrame, segments: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Merged defects that known structure doesn't explain, with the window to read; and the explained hits."""
-    found = detectors.located(hits).withColumn("hit_id", F.xxhash64("asset_id", "t", "kind", "start_s", "end_s"))
+def defects(hits: list[DataFrame], cuts: DataFrame, segments: DataFrame, assets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Merged defects that known structure doesn't explain, with the window to read; and the explained hits.
+
+    The window ends inside the duration where assets (asset_id, duration) are given.
+    """
+    found = detectors.located(hits).withColumn("hit_id", F.sha2(F.to_json(F.struct("asset_id", "t", "kind", "start_s", "end_s"), {"ignoreNullFields": "false"}), 256))
     judged = intervals.suppressed(found, cuts, segments)
     merged = folds.merge_hits(judged.filter("suppression IS NULL"))
-    return merged.withColumn("read_from", S.evidence_start(F.col("t"))).withColumn("read_to", F.col("t") + 0.75), judged.filter("suppression IS NOT NULL")
+    until = F.col("t") + 0.75
+    if assets is not None:
+        merged, until = merged.join(assets.select("asset_id", "duration"), "asset_id", "left"), F.least(F.col("duration"), until)
+    merged = merged.withColumn("read_from", S.evidence_start(F.col("t"))).withColumn("read_to", until).drop("duration")
+    return merged, judged.filter("suppression IS NOT NULL")
 
 
 def read(assets: DataFrame, frames: DataFrame, hits: DataFrame, side: int, tile: int, threshold: float, family: str = "generic") -> tuple[DataFrame, DataFrame]:
@@ -98,19 +138,30 @@ def read(assets: DataFrame, frames: DataFrame, hits: DataFrame, side: int, tile:
     wanted = series.merged(series.uniform(planned), burst)
     near = joins.at_or_after(wanted, frames.withColumn("value", F.struct(F.col("t").alias("at"), "thumb")), "value").filter("value IS NOT NULL")
     taken = near.select("asset_id", F.col("value.at").alias("t"), F.col("value.thumb").alias("thumb")).dropDuplicates(["asset_id", "t"])
-    kept = folds.dedup_frames(joins.protected(taken, burst), threshold, side, tile).filter("kept")
+    kept = dedup(joins.protected(taken, burst), threshold, side, tile).filter("kept")
     counts = taken.groupBy("asset_id").agg(F.count(F.lit(1)).alias("frames"))
     return kept, budget.read_size(assets.join(counts, "asset_id", "left").fillna(0, ["frames"]), family)
 
 
-def scan(assets: DataFrame, pool: DataFrame, family: str = "generic", per_sheet: int = 25) -> DataFrame:
-    """Contact sheets: asset_id, sheet, tiles (their times), tile_width; the budget solves how many tiles there are."""
-    plan = budget.scan_plan(assets, family, per_sheet=per_sheet).filter("fits").withColumn("target", F.col("tiles"))
-    times = series.candidates(plan.select("asset_id", "start_s", "end_s", "target"), pool)
-    ranked = series.thin(times.select("asset_id", "t"), 200, ["t"])
-    sheets = series.chunks(ranked, per_sheet, ["t"])
-    tiles = sheets.groupBy("asset_id", F.col("chunk").alias("sheet")).agg(F.transform(F.array_sort(F.collect_list("t")), lambda t: S.format_time(t)).alias("tiles"))
-    return tiles.join(plan.select("asset_id", "tile_width"), "asset_id")
+def scan(assets: DataFrame, pool: DataFrame, family: str = "generic", per_sheet: int = 25, most: int = budget.SCAN_BUDGET, grid: tuple[int, int] | None = None) -> DataFrame:
+    """Contact sheets: asset_id, sheet, tiles (their times written out), times, tile_width, cols, rows, tokens.
+
+    The budget solves each asset's tile width and how many tiles it gets; grid (columns, rows) fixes the sheets'
+    shape. An asset that can't pay for one sheet, or whose assembled sheets cost more than the budget, has none.
+    """
+    per_sheet = grid[0] * grid[1] if grid else per_sheet
+    plan = budget.scan_plan(assets, family, most=most, per_sheet=per_sheet, grid=grid).filter("fits").withColumn("target", F.col("tiles"))
+    times = series.candidates(plan.select("asset_id", "start_s", "end_s", "target"), pool).select("asset_id", "t").distinct()
+    ranked = series.thin(times.join(plan.select("asset_id", "tiles"), "asset_id"), F.col("tiles"), ["t"])
+    sheets = series.chunks(ranked.select("asset_id", "t"), per_sheet, ["t"])
+    sheets = sheets.groupBy("asset_id", F.col("chunk").alias("sheet")).agg(F.array_sort(F.collect_list("t")).alias("times"))
+    n = F.size("times")
+    sheets = sheets.withColumn("cols", F.lit(grid[0]) if grid else S.grid_columns(n)).withColumn("rows", F.lit(grid[1]) if grid else S.grid_rows(n))
+    priced = sheets.join(plan.select("asset_id", "tile_width", "width", "height"), "asset_id")
+    priced = priced.withColumn("tokens", budget.sheet_tokens(F.col("tile_width"), F.col("width"), F.col("height"), F.col("cols"), F.col("rows"), family))
+    paid = priced.groupBy("asset_id").agg(F.sum("tokens").alias("total")).filter(F.col("total") <= most).select("asset_id")
+    tiles = F.transform("times", lambda t: S.format_time(t)).alias("tiles")
+    return priced.join(paid, "asset_id", "left_semi").select("asset_id", "sheet", tiles, "times", "tile_width", "cols", "rows", "tokens")
 
 
 def quick(assets: DataFrame, family: str = "generic") -> DataFrame:
@@ -138,7 +189,9 @@ def extract(assets: DataFrame, transitions_: DataFrame, segments: DataFrame, sil
 
     assets: asset_id, duration, source. A brief is one value, as long as its asset's transcript.
     """
-    named = assets.select("asset_id", "duration", "source", F.lit("scene").alias("cut_method"))
+    named = assets.select("asset_id", "duration", "source")
+    method = transitions_.groupBy("asset_id").agg(F.min("method").alias("cut_method")) if "method" in transitions_.columns else assets.select("asset_id", F.lit("scene").alias("cut_method")).distinct()
+    named = named.join(method, "asset_id", "left").fillna("scene", ["cut_method"])
     shots = intervals.shots(named, folds.cluster(transitions_))
     pacing = intervals.pacing(shots)
     gaps = intervals.annotate_audio(intervals.speech_gaps(named, segments), silence)

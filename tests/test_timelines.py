@@ -291,3 +291,57 @@ def test_streams_agree_with_tables(spark, tmp_path):
     edges = {(r.asset_id, r.t) for r in detectors.luma_spikes(whole).filter("form = 'edge'").collect()}
     assert {(r.asset_id, r.t) for r in spark.table("edges").collect()} == edges
     assert {(r.asset_id, r.t) for r in spark.table("anchors").collect()} == {(r.asset_id, r.t) for r in folds.cluster(whole).collect()}
+
+
+def test_transitions_for_labels_its_method(spark):
+    # a: three clusters of cuts, two of which part unlike frames; b: blind, sampled changes; c: no duration; d: cuts that all hold.
+    frames = [("a", float(t), [float(t >= 20) + float(t >= 40)] * 4) for t in range(61)] + [("d", float(t), [float(t)] * 4) for t in range(31)]
+    f = spark.createDataFrame(frames, "asset_id string, t double, thumb array<double>")
+    assets = spark.createDataFrame([("a", 60.0), ("b", 600.0), ("c", 0.0), ("d", 30.0)], "asset_id string, duration double")
+    raw = spark.createDataFrame([("a", 20.0), ("a", 20.1), ("a", 40.0), ("a", 50.0), ("b", 5.0), ("c", 1.0), ("d", 10.0)], "asset_id string, t double")
+    changes = spark.createDataFrame([("b", 5.0), ("b", 100.0), ("b", 100.05), ("c", 2.0), ("c", 3.0)], "asset_id string, t double")
+    got = sorted((r.asset_id, r.t, r.method) for r in pipelines.transitions_for(assets, raw, changes, f, 2, 1, span=1.0, level=0.5).collect())
+    assert got == [
+        ("a", 20.0, "scene+confirmed (3->2)"),
+        ("a", 40.0, "scene+confirmed (3->2)"),
+        ("b", 5.0, "content-change"),
+        ("b", 100.0, "content-change"),
+        ("c", 1.0, "scene"),
+        ("d", 10.0, "scene"),
+    ]
+
+
+@pytest.mark.parametrize("grid", [None, (3, 2), (10, 10)])
+def test_scan_never_overspends(spark, grid):
+    a = spark.createDataFrame([("wide", 1920, 1080, 0.0, 600.0), ("tall", 1080, 1920, 0.0, 600.0), ("odd", 100, 9000, 0.0, 600.0)], "asset_id string, width int, height int, start_s double, end_s double")
+    pool = spark.createDataFrame([(x, t * 0.5) for x in ("wide", "tall", "odd") for t in range(1000)], "asset_id string, t double")
+    sheets = pipelines.scan(a, pool, "anthropic", grid=grid).collect()
+    by = {}
+    for r in sheets:
+        by.setdefault(r.asset_id, []).append(r)
+        assert len(r.tiles) == len(r.times) <= r.cols * r.rows and (grid is None or (r.cols, r.rows) == grid)
+    assert "wide" in by and "odd" not in by and all(sum(r.tokens for r in rows) <= 3000 for rows in by.values())
+
+
+def test_noise_keeps_all_frames(spark):
+    noisy = [("n", float(i), [float(i % 2) * 3] * 4) for i in range(9)]
+    still = [("s", float(i), [float(i >= 5)] * 4) for i in range(9)]
+    f = spark.createDataFrame(noisy + still + [("t", 0.0, [0.0] * 4), ("t", 1.0, [0.0] * 4)], "asset_id string, t double, thumb array<double>")
+    rows = pipelines.dedup(f, 0.5, 2, 1).collect()
+    kept = {a: sorted(r.t for r in rows if r.asset_id == a and r.kept) for a in "nst"}
+    assert kept == {"n": [float(i) for i in range(9)], "s": [0.0, 5.0, 8.0], "t": [0.0, 1.0]} and {r.asset_id for r in rows if r.gated} == {"n"}
+    assert len(pipelines.dedup(f, 5.0, 2, 1, gate=False).filter("kept AND asset_id = 'n'").collect()) == 2
+
+
+def test_equal_hits_stay_as_many_as_they_are(spark):
+    hits = spark.createDataFrame([("h", "a", 5.0, "luma-spike", None, None)] * 2 + [("h", "a", 5.0, "silence", 5.0, 6.0)], "hit_id string, asset_id string, t double, kind string, start_s double, end_s double")
+    cuts = spark.createDataFrame([("a", 5.1)], "asset_id string, t double")
+    segments = spark.createDataFrame([("a", 1, 0.0, 4.0), ("a", 2, 7.0, 8.0)], "asset_id string, seq long, start_s double, end_s double")
+    rows = intervals.suppressed(hits, cuts, segments).collect()
+    assert sorted((r.kind, r.suppression) for r in rows) == [("luma-spike", "confirmed-scene-cut")] * 2 + [("silence", "between-transcript-segments")]
+
+
+def test_merged_hits_keep_their_evidence(spark):
+    hits = spark.createDataFrame([("a", 1.0, "black", "high", "dark for 1 s"), ("a", 1.2, "freeze", "low", None), ("a", 9.0, "silence", "low", "quiet")], "asset_id string, t double, kind string, severity string, evidence string")
+    got = {r.t: [h.evidence for h in r.hits] for r in folds.merge_hits(hits).collect()}
+    assert got == {1.0: ["dark for 1 s", None], 9.0: ["quiet"]}
