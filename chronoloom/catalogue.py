@@ -12,7 +12,7 @@ from chronoloom.functions import scalars as S
 from chronoloom.functions import tokens as P
 from chronoloom.operators import budget, cache, detectors, findings, folds, intervals, joins, series
 from chronoloom.plans import pipelines
-from chronoloom.sources import subtitles
+from chronoloom.sources import logs, subtitles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -393,6 +393,155 @@ def asr_json_normalise(spark, sf_dir):
     return subtitles.recognised(runs)
 
 
+# ---------------------------------------------------------------- what media tools print
+
+
+@query(
+    f"""WITH {SIZES} SELECT p_partkey AS asset_id, CASE p_partkey % 3 WHEN 0 THEN round(p_partkey / 8, 3) WHEN 1 THEN CAST(p_size AS DOUBLE) ELSE 0.0 END AS duration, width, height,
+CASE p_partkey % 5 WHEN 0 THEN 0.0 WHEN 1 THEN 25.0 WHEN 2 THEN 0.0 ELSE round(p_size * 1000 / 1001, 3) END AS fps, CASE WHEN p_partkey % 7 = 0 THEN '?' ELSE p_type END AS codec,
+p_partkey % 2 = 0 AS has_audio, CAST(CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE p_partkey * 100 END AS BIGINT) AS size_bytes FROM sz JOIN part USING (p_partkey)"""
+)
+def probe_file(spark, sf_dir):
+    key, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    told = F.when(key % 3 == 0, (key / 8).cast("string")).when(key % 3 == 2, "N/A")
+    rate = F.when(key % 5 == 0, "0/0").when(key % 5 == 2, "30").when(key % 5 > 2, F.concat(size, F.lit("000/1001")))
+    video = F.struct(
+        F.lit("video").alias("codec_type"), F.when(key % 7 != 0, F.col("p_type")).alias("codec_name"), "width", "height", rate.alias("avg_frame_rate"), F.when(key % 5 == 1, "25/1").otherwise("1/1").alias("r_frame_rate"), F.when(key % 3 == 1, size).otherwise("N/A").alias("duration")
+    )
+    audio = F.when(key % 2 == 0, F.array(F.struct(F.lit("audio").alias("codec_type"))))
+    probe = F.concat(F.lit('{"format":'), F.to_json(F.struct(told.alias("duration"), F.when(key % 4 != 0, (key * 100).cast("string")).alias("size"))), F.lit(',"streams":['), F.coalesce(F.concat(F.substr(F.to_json(audio), F.lit(2), F.length(F.to_json(audio)) - 2), F.lit(",")), F.lit("")), F.to_json(video), F.lit("]}"))
+    files = B.sizes(spark, sf_dir).join(B.table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_type"), "p_partkey").select(key.alias("asset_id"), probe.alias("json"))
+    return subtitles.probed(files)
+
+
+@query("SELECT DISTINCT l_orderkey AS asset_id, l_partkey / 4 AS pts FROM lineitem WHERE l_returnflag <> 'R'")
+def packet_times(spark, sf_dir):
+    packet = F.struct(F.when(F.col("l_returnflag") == "R", "N/A").otherwise((F.col("l_partkey") / 4).cast("string")).alias("pts_time"))
+    files = B.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("asset_id")).agg(F.to_json(F.struct(F.collect_list(packet).alias("packets"))).alias("json"))
+    return logs.packet_times(files)
+
+
+@query(
+    """SELECT l_orderkey AS asset_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag, l_linestatus) - 1 AS INTEGER) AS "order", l_linenumber AS "index",
+CASE WHEN l_linestatus = 'F' THEN 'subrip' ELSE '?' END AS codec, CASE WHEN l_returnflag = 'N' THEN '' ELSE lower(l_returnflag) END AS language, CASE WHEN l_linestatus = 'F' AND l_returnflag <> 'N' THEN 'T' || l_partkey ELSE '' END AS title FROM lineitem"""
+)
+def subtitle_tracks(spark, sf_dir):
+    f, n = F.col("l_linestatus") == "F", F.col("l_returnflag") != "N"
+    tags = F.when(n, F.struct(F.col("l_returnflag").alias("language"), F.when(f, F.concat(F.lit("T"), F.col("l_partkey").cast("string"))).alias("title")))
+    track = F.struct("l_linenumber", "l_partkey", "l_returnflag", "l_linestatus", F.col("l_linenumber").alias("index"), F.when(f, "subrip").alias("codec_name"), tags.alias("tags"))
+    files = B.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("asset_id")).agg(F.to_json(F.struct(F.array_sort(F.collect_list(track)).alias("streams"))).alias("json"))
+    return logs.subtitle_tracks(files)
+
+
+@query(
+    """SELECT c_custkey AS asset_id, c_name AS title, CASE WHEN c_custkey % 3 = 0 THEN 0.0 ELSE c_custkey / 2 END AS duration, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE '' END AS uploader, CAST(c_nationkey AS INTEGER) AS width, 0 AS height,
+CASE WHEN c_custkey % 4 = 0 THEN 'de,en' ELSE '' END AS manual_subs, 'n' || c_nationkey || ',zz' AS auto_subs FROM customer"""
+)
+def remote_metadata(spark, sf_dir):
+    key = F.col("c_custkey")
+    said = F.struct(
+        F.col("c_name").alias("title"), F.when(key % 3 != 0, key / 2).alias("duration"), F.when(key % 2 == 0, F.col("c_mktsegment")).alias("uploader"), F.col("c_nationkey").alias("width"),
+        F.when(key % 4 == 0, F.create_map(F.lit("en"), F.array(F.lit("a")), F.lit("de"), F.array(F.lit("b"), F.lit("c")))).alias("subtitles"),
+        F.create_map(F.lit("zz"), F.array(F.lit("a")), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")), F.array(F.lit("b"))).alias("automatic_captions"),
+    )
+    files = B.table(spark, sf_dir, "customer").select(key.alias("asset_id"), F.to_json(said).alias("json"))
+    out = logs.remote_metadata(files)
+    return out.withColumns({c: F.array_join(c, ",") for c in ("manual_subs", "auto_subs")})
+
+
+def _log(spark, sf_dir, *lines):
+    """The events of a user as a log: asset_id, line_no, line; each event writes these lines."""
+    e = B.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("asset_id"), "event_id", "event_type", (F.col("event_id") / 4).cast("string").alias("at"), F.floor("value").cast("string").alias("v"))
+    return e.select("asset_id", "event_id", F.posexplode(F.array(*lines)).alias("p", "line")).select("asset_id", (F.col("event_id") * len(lines) + F.col("p")).alias("line_no"), "line")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS asset_id, event_id / 4 AS t, CAST(floor(value) AS DOUBLE) AS yavg FROM events WHERE event_type <> 'error'")
+def luma_log(spark, sf_dir):
+    frame = F.concat(F.lit("frame:1    pts:1    pts_time:"), F.col("at"))
+    signal = F.when(F.col("event_type") != "error", F.concat(F.lit("lavfi.signalstats.YAVG="), F.col("v"))).otherwise("lavfi.signalstats.YMIN=16")
+    return subtitles.luma_log(_log(spark, sf_dir, frame, signal)).select("asset_id", "t", "yavg")
+
+
+@query(
+    """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS asset_id, event_type, event_id / 4 AS t, floor(value) AS v FROM events), a AS (SELECT DISTINCT asset_id FROM e),
+n AS (SELECT *, row_number() OVER (PARTITION BY asset_id, event_type ORDER BY t) AS n FROM e),
+p AS (SELECT s.asset_id, s.event_type, s.t AS start_s, x.t AS end_s FROM n s LEFT JOIN n x ON x.asset_id = s.asset_id AND x.n = s.n AND x.event_type = CASE s.event_type WHEN 'click' THEN 'signup' ELSE 'error' END WHERE s.event_type IN ('click', 'purchase'))
+SELECT asset_id, 'black' AS kind, t AS start_s, t + v AS end_s FROM e WHERE event_type = 'view'
+UNION ALL SELECT asset_id, 'freeze', start_s, coalesce(end_s, 1e6) FROM p WHERE event_type = 'click' UNION ALL SELECT asset_id, 'silence', start_s, end_s FROM p WHERE event_type = 'purchase' AND end_s > start_s"""
+)
+def log_spans(spark, sf_dir):
+    kind, at = F.col("event_type"), F.col("at")
+    black = F.concat(F.lit("[blackdetect @ 0x1] black_start:"), at, F.lit(" black_end:"), (at.cast("double") + F.col("v").cast("double")).cast("decimal(18,2)").cast("string"), F.lit(" black_duration:"), F.col("v"))
+    line = (
+        F.when(kind == "view", black)
+        .when(kind == "click", F.concat(F.lit("[freezedetect @ 0x2] lavfi.freezedetect.freeze_start: "), at))
+        .when(kind == "signup", F.concat(F.lit("[freezedetect @ 0x2] lavfi.freezedetect.freeze_end: "), at))
+        .when(kind == "purchase", F.concat(F.lit("[silencedetect @ 0x3] silence_start: "), at))
+        .otherwise(F.concat(F.lit("[silencedetect @ 0x3] silence_end: "), at, F.lit(" | silence_duration: 1")))
+    )
+    log = _log(spark, sf_dir, line)
+    a = B.assets(spark, sf_dir).withColumn("duration", F.lit(1e6))
+    spans = {"black": logs.black_spans(log), "freeze": detectors.pair_freezes(logs.marks(log, "freeze"), a), "silence": detectors.pair_silences(logs.marks(log, "silence"))}
+    parts = [s.select("asset_id", F.lit(k).alias("kind"), "start_s", "end_s") for k, s in spans.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(f"WITH {EV} SELECT DISTINCT asset_id, round(t, 3) AS t FROM ev WHERE value / 100 > 0.15::DOUBLE AND t >= 100 AND t <= 600")
+def detect_cuts(spark, sf_dir):
+    return detectors.cuts(B.events(spark, sf_dir).withColumn("scene_score", F.col("value") / 100), start=100.0, end=600.0)
+
+
+@query("SELECT DISTINCT CAST(user_id AS VARCHAR) AS asset_id, event_id / 4 AS t FROM events WHERE event_type = 'view' AND event_id / 4 BETWEEN 5 AND 1e6")
+def cut_log(spark, sf_dir):
+    line = F.when(F.col("event_type") == "view", F.concat(F.lit("[Parsed_showinfo_2 @ 0x4] n: 0 pts: 1 pts_time:"), F.col("at"), F.lit(" duration: 1"))).otherwise("Stream mapping:")
+    return logs.shown_cuts(_log(spark, sf_dir, line), 5.0, 1e6)
+
+
+@query("SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'python' WHEN 1 THEN 'cpp' WHEN 2 THEN 'python' WHEN 3 THEN 'cpp' END AS backend FROM customer")
+def recogniser_backend(spark, sf_dir):
+    said = ["usage: x [--output_format F]", "  -oj,  --output-json  write", "--MODEL_DIR D and --output-json", "  -m FNAME,  --model FNAME  path"]
+    text = F.try_element_at(F.array(*[F.lit(s) for s in said]), (F.col("c_custkey") % 5 + 1).cast("int"))
+    return B.table(spark, sf_dir, "customer").select("c_custkey", subtitles.backend(F.coalesce(text, F.lit("no flags"))).alias("backend"))
+
+
+@query(
+    """WITH s AS (SELECT p_partkey, p_size * 13.0::DOUBLE AS d, CASE p_partkey % 3 WHEN 0 THEN p_size / 2 WHEN 1 THEN 29.97::DOUBLE ELSE 0.25::DOUBLE END AS fps FROM part)
+SELECT p_partkey, CAST(greatest(1, round_even(fps * d, 0)) AS INTEGER) AS target, 'explicit ' || regexp_replace(CAST(fps AS VARCHAR), '\\.0$', '') || 'fps' AS label FROM s"""
+)
+def explicit_sampling(spark, sf_dir):
+    fps = F.when(F.col("p_partkey") % 3 == 0, F.col("p_size") / 2).when(F.col("p_partkey") % 3 == 1, 29.97).otherwise(0.25)
+    d = (F.col("p_size") * 13.0).cast("double")
+    return B.table(spark, sf_dir, "part").select("p_partkey", S.plan_target(d, False, fps).alias("target"), S.plan_label(False, fps).alias("label"))
+
+
+@query(f"WITH {SEG} SELECT asset_id, string_agg(printf('[%02d:%02d] ', CAST(floor(start_s) AS BIGINT) // 60, CAST(floor(start_s) AS BIGINT) % 60) || text, chr(10) ORDER BY seq) AS transcript FROM seg WHERE start_s <= 500 AND end_s >= 400 GROUP BY 1")
+def transcript_text(spark, sf_dir):
+    return intervals.rendered(B.segments(spark, sf_dir), 400.0, 500.0)
+
+
+@query(
+    f"""WITH {EV}, n AS (SELECT event_id, CAST(floor(t) AS BIGINT) AS w, row_number() OVER (PARTITION BY asset_id ORDER BY t, event_id) AS i FROM ev)
+SELECT event_id, printf('%02d_%02dm%02ds.jpg', i, w // 60, w % 60) AS name FROM n"""
+)
+def handoff_names(spark, sf_dir):
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("asset_id").orderBy("t", "event_id"))
+    return B.events(spark, sf_dir).withColumn("i", place).select("event_id", S.handoff_name(F.col("i"), F.col("t")).alias("name"))
+
+
+@query("SELECT page_id, coalesce(nullif(left(regexp_replace(regexp_extract(regexp_replace(url, '/+$', ''), '[^/]*$'), '^(.+)\\.[^.]+$', '\\1'), 60), ''), 'clip') AS stem FROM pages")
+def clip_stem(spark, sf_dir):
+    return B.table(spark, sf_dir, "pages").select("page_id", S.clip_stem(F.col("url")).alias("stem"))
+
+
+@query("SELECT o_custkey AS owner, CAST(o_orderkey AS VARCHAR) AS key FROM orders WHERE o_orderkey <> (SELECT min(o_orderkey) FROM orders)")
+def cache_purge(spark, sf_dir):
+    entries = B.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("owner"), F.col("o_orderkey").cast("string").alias("key"))
+    least = B.table(spark, sf_dir, "orders").agg(F.min("o_orderkey").cast("string")).first()[0]
+    return cache.purged(entries, least)
+
+
 # ---------------------------------------------------------------- detectors
 
 LUMA = f"""{EV}, lu AS (SELECT asset_id, t, value AS y, lag(value) OVER w AS p, lead(value) OVER w AS n FROM ev WINDOW w AS (PARTITION BY asset_id ORDER BY t)),

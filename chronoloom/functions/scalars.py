@@ -84,6 +84,30 @@ def frame_name(t: Column, width: Column, labelled: bool) -> Column:
     return F.format_string(f"w%d_{'lbl' if labelled else 'raw'}_t%09d.jpg", width.cast("long"), F.bround(t * 1000).cast("long"))
 
 
+def clip_stem(source: Column) -> Column:
+    """The last part of a path without its last extension, 60 characters at most, "clip" where nothing is left."""
+    last = F.regexp_extract(F.regexp_replace(F.coalesce(source, F.lit("")), "/+$", ""), "[^/]*$", 0)
+    return F.coalesce(F.nullif(F.substr(F.regexp_replace(last, r"^(.+)\.[^.]+$", "$1"), F.lit(1), F.lit(60)), F.lit("")), F.lit("clip"))
+
+
+def handoff_name(place: Column, t: Column) -> Column:
+    """The file name of a brief's image: its place from 1 and its time."""
+    return F.concat(F.format_string("%02d_", place.cast("long")), F.replace(format_time(t), F.lit(":"), F.lit("m")), F.lit("s.jpg"))
+
+
+def prescale(setting: str | None, usual: int = 160) -> int:
+    """The width at which scenes are compared, 0 for none, from a setting; what isn't a number means the usual one."""
+    if setting is None:
+        return usual
+    said = setting.strip().lower()
+    if said in ("", "0", "off", "false", "no"):
+        return 0
+    try:
+        return max(0, int(said))
+    except ValueError:
+        return usual
+
+
 def per_minute(count: Column, seconds: Column) -> Column:
     return F.when(seconds > 0, count / (seconds / 60.0)).otherwise(F.lit(0.0))
 

@@ -33,8 +33,12 @@ def evicted(found: DataFrame, cap: float = CAP, age: Column | None = None) -> Da
 
 
 def purged(found: DataFrame, key: str | None = None) -> DataFrame:
-    """What stays after one entry, or all, are deleted."""
-    return found.filter(F.col("key") != key) if key is not None else found.limit(0)
+    """What stays after one entry, or all (no key, or "all"), are deleted; an unknown key is an error, known only by a look."""
+    if key is None or key == "all":
+        return found.limit(0)
+    if found.filter(F.col("key") == key).isEmpty():
+        raise KeyError(f"no cache entry {key!r}")
+    return found.filter(~F.col("key").eqNullSafe(F.lit(key)))
 
 
 def reused_windows(asks: DataFrame, windows: DataFrame) -> DataFrame:

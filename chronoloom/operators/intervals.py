@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoloom.functions import scalars
 from chronoloom.operators.joins import latest, protected, spread
 
 MIN_GAP = 2.0
@@ -115,6 +116,14 @@ def clip(segments: DataFrame, start: float, end: float) -> DataFrame:
     return segments.filter((F.col("start_s") <= end) & (F.col("end_s") >= start))
 
 
+def rendered(segments: DataFrame, start: float = 0.0, end: float | None = None) -> DataFrame:
+    """asset_id, transcript: a line "[time] text" for each segment that touches a closed window, in order of seq."""
+    inside = segments.filter((F.col("end_s") >= start) & (F.col("start_s") <= end if end is not None else F.lit(True)))
+    line = F.concat(F.lit("["), scalars.format_time(F.col("start_s")), F.lit("] "), F.coalesce("text", F.lit("")))
+    said = F.array_sort(F.collect_list(F.struct("seq", "start_s", line.alias("line"))))
+    return inside.groupBy("asset_id").agg(F.array_join(F.transform(said, lambda x: x["line"]), "\n").alias("transcript"))
+
+
 def hook(segments: DataFrame, seconds: float = 3.0) -> DataFrame:
     """What is said by segments that begin in the first seconds, joined in order."""
     early = segments.filter((F.col("start_s") < seconds) & (F.trim("text") != ""))

@@ -103,7 +103,7 @@ def backend(help_text: Column) -> Column:
     return F.when(says(PYTHON_FLAGS), "python").when(says(CPP_FLAGS), "cpp")
 
 
-PROBE = "format struct<duration:string,size:string>, streams array<struct<codec_type:string,codec_name:string,width:int,height:int,avg_frame_rate:string,duration:string>>"
+PROBE = "format struct<duration:string,size:string>, streams array<struct<codec_type:string,codec_name:string,width:int,height:int,avg_frame_rate:string,r_frame_rate:string,duration:string>>"
 
 
 def probed(files: DataFrame) -> DataFrame:
@@ -111,15 +111,15 @@ def probed(files: DataFrame) -> DataFrame:
     p = files.select("asset_id", F.from_json("json", PROBE).alias("p"))
     video = F.try_element_at(F.filter("p.streams", lambda s: s["codec_type"] == "video"), F.lit(1))
     v = p.withColumn("v", F.coalesce(video, F.raise_error(F.concat(F.lit("no video stream: "), "asset_id")).cast(p.select(video.alias("v")).schema["v"].dataType)))
-    rate = F.split(F.col("v.avg_frame_rate"), "/")
+    rate = F.split(F.coalesce(F.nullif("v.avg_frame_rate", F.lit("")), "v.r_frame_rate"), "/", 2)  # a rate without a fraction counts as unknown
     over, under = F.try_element_at(rate, F.lit(1)).try_cast("double"), F.try_element_at(rate, F.lit(2)).try_cast("double")
     return v.select(
         "asset_id",
         F.round(F.coalesce(F.col("p.format.duration").try_cast("double"), F.col("v.duration").try_cast("double"), F.lit(0.0)), 3).alias("duration"),
-        F.col("v.width").alias("width"),
-        F.col("v.height").alias("height"),
-        F.round(F.coalesce(F.try_divide(over, F.coalesce(under, F.lit(1.0))), F.lit(0.0)), 3).alias("fps"),
-        F.col("v.codec_name").alias("codec"),
+        F.coalesce("v.width", F.lit(0)).alias("width"),
+        F.coalesce("v.height", F.lit(0)).alias("height"),
+        F.round(F.coalesce(F.try_divide(over, under), F.lit(0.0)), 3).alias("fps"),
+        F.coalesce("v.codec_name", F.lit("?")).alias("codec"),
         F.exists("p.streams", lambda s: s["codec_type"] == "audio").alias("has_audio"),
         F.coalesce(F.col("p.format.size").try_cast("long"), F.lit(0)).alias("size_bytes"),
     )
