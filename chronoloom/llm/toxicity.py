@@ -1,13 +1,16 @@
 """Toxicity by a subsequence string kernel, Nystroem landmarks and a linear support vector machine.
 
-Strings are words with their borders marked, freed of inner punctuation (i.d.i.o.t is read as idiot), and
-runs of single letters (i d i o t) as one word more. The kernel counts common subsequences of ORDERS
+Strings are words with their borders marked, freed of inner punctuation (i.d.i.o.t is read as idiot), runs of
+single letters (i d i o t) as one word more, and some neighbouring words joined: two short ones that aren't both
+common (id iot), and those of which one belongs to a learned phrase. The kernel counts common subsequences of ORDERS
 letters whose gaps are bounded, each weighted by DECAY for every letter skipped, so an inserted or dropped
 character costs a little and not everything.
 
 Training: sentences carry the label of their document, and each toxic document holds at least one word that
 made it so. Which words these are is found by turns: train, then take the words of toxic documents that
-score highest as the next positives (a multiple-instance machine). The kernel is approximated on LANDMARKS
+score highest as the next positives (a multiple-instance machine). Toxic documents that no word explains may
+hold a phrase: neighbouring words that stand together in several of them and in hardly a clean one, whatever
+each means alone. The kernel is approximated on LANDMARKS
 words; as it is a sum over subsequences, the trained machine is written out as one weight for each
 subsequence, so scoring a word needs no landmark. A text's score is a logistic function of its highest
 word, fitted on labelled documents kept out of the training.
@@ -22,7 +25,7 @@ import re
 import sys
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
@@ -38,6 +41,8 @@ LANDMARKS, COST, ROUNDS = 480, 4.0, 4
 SOFT = 8.0
 EVIDENCE = 2.0  # how much oftener in other toxic documents a run of a word's letters must stand, as count times log odds
 SAMPLE, SAMPLE_CHARS = 3_000, 12_000_000
+PIECE = 5  # letters of a word that may be a piece of a split one
+PHRASE = 3  # toxic documents without an insulting word in which a phrase must stand to be learned
 THRESHOLD = 0.3
 LONGEST = 32  # letters of a word scored at once; longer words are scored in overlapping parts
 JOINED = 20  # characters up to which a string with inner punctuation or digits is read as one word alone
@@ -108,6 +113,8 @@ class Model:
     bias: float
     slope: float = 1.0
     offset: float = 0.0
+    common: frozenset[str] = field(default_factory=frozenset)  # short words of clean documents, no pieces of split ones
+    halves: frozenset[str] = field(default_factory=frozenset)  # words of learned phrases
 
     def margins(self, words: list[str]) -> np.ndarray:
         """The machine's value of each word of at most LONGEST letters."""
@@ -144,6 +151,36 @@ def _single_runs(words: list[list[str]]) -> Iterator[str]:
             run = []
 
 
+def may_join(a: str, b: str, common: frozenset[str] | set[str], halves: frozenset[str] | set[str]) -> bool:
+    """Whether two neighbouring words are scored as one as well."""
+    split = len(a) <= PIECE and len(b) <= PIECE and len(a) + len(b) >= 4 and not (a in common and b in common)
+    return split or a in halves or b in halves
+
+
+def _neighbours(text: str) -> Iterator[tuple[str, str]]:
+    """Neighbouring words of a text, strings without letters between them left out; a string of several words has none."""
+    found = [w for w in map(normal, text.split()) if w]
+    for a, b in zip(found, found[1:], strict=False):
+        if len(a) == len(b) == 1:
+            yield a[0], b[0]
+
+
+def joined(text: str, common: frozenset[str] | set[str], halves: frozenset[str] | set[str]) -> set[str]:
+    """The neighbouring words of a text that are scored joined, in parts where they are long."""
+    return {p for a, b in set(_neighbours(text)) if may_join(a, b, common, halves) for p in parts(a + b)}
+
+
+def _phrases(unexplained: list[str], clean: list[str]) -> dict[tuple[str, str], int]:
+    """Neighbouring words by how many unexplained toxic texts hold them, where these are PHRASE at least and far more than clean ones."""
+    toxic = Counter(pair for text in unexplained for pair in set(_neighbours(text)) if pair[0] != pair[1])
+    often = {pair: n for pair, n in toxic.items() if n >= PHRASE}
+    if not often:
+        return {}
+    calm = Counter(pair for text in clean for pair in set(_neighbours(text)) if pair in often)
+    a, b = len(unexplained) + 1, len(clean) + 1
+    return {pair: n for pair, n in often.items() if (n - 1) * (np.log((n - 0.9) / a) - np.log((calm[pair] + 0.5) / b)) >= EVIDENCE * PHRASE and calm[pair] * a < n * b / 10}
+
+
 def _kernel_features(words: list[str], columns: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Sums over each word's subsequences of their landmark rows, over the word's norm: the kernel with every landmark."""
     _, at = _codes(words)
@@ -255,9 +292,12 @@ def distinct(documents: list[tuple[str, int]]) -> list[tuple[str, int]]:
 
 def train(documents: list[tuple[str, int]], seed: int = 0) -> Model:
     """A model from whole texts and their labels; a constant one where a class is missing."""
-    bags = [(tuple(sorted(word_list(text))), y) for text, y in distinct(documents)]
+    said = distinct(documents)
+    bags = [(tuple(sorted(word_list(text))), y) for text, y in said]
     rng = np.random.default_rng(seed)
     held = rng.random(len(bags)) < 0.2
+    toxic_texts = [text for (text, _), (b, y), h in zip(said, bags, held, strict=True) if y == 1 and b and not h]
+    clean_texts = [text for (text, y), h in zip(said, held, strict=True) if y != 1 and not h]
     toxic = [b for (b, y), h in zip(bags, held, strict=True) if y == 1 and b and not h]
     clean = [b for (b, y), h in zip(bags, held, strict=True) if y != 1 and not h]
     share = (sum(y == 1 for _, y in bags) + 0.5) / (len(bags) + 5)
@@ -272,9 +312,13 @@ def train(documents: list[tuple[str, int]], seed: int = 0) -> Model:
     # Each toxic document's words, chosen by a machine that hasn't seen that document, so that words which
     # only happen to stand there aren't learned by heart.
     chosen = [[w for w in sorted(words, key=lambda w: (-guess[w], w))[:3] if guess[w] >= EVIDENCE] for words in strange]
+    phrases: dict[tuple[str, str], int] = {}
     if not any(chosen):
-        return plain
+        phrases = _phrases(toxic_texts, clean_texts)
+        if not phrases:
+            return plain
     hard: list[str] = []
+    joins: Counter = Counter()  # clean documents' words that are scored joined
 
     def values(model: Model, words: list[str]) -> np.ndarray:
         return np.concatenate([model.margins(words[i : i + 20_000]) for i in range(0, len(words), 20_000)] or [np.zeros(0)])
@@ -285,12 +329,14 @@ def train(documents: list[tuple[str, int]], seed: int = 0) -> Model:
 
     def machine(of: list[list[str]], variants: bool = False) -> Model:
         best = dict(Counter(w for words in of for w in words).most_common(2_000))
+        best |= {p: n for (a, b), n in phrases.items() for p in parts(a + b)}
         if variants:
-            best = {w: 1 for w in gapped(list(best)) if w not in known} | best
+            best = {w: 1 for w in gapped(list(best)) if w not in known and w not in joins} | best
         easy = [ordinary[i] for i in sorted(rng.choice(len(ordinary), min(3_000, len(ordinary)), replace=False))]
-        return train_words(best, {w: known[w] for w in sorted({*easy, *common, *hard})}, hard, seed)
+        seen = known | joins if joins else known
+        return train_words(best, {w: seen[w] for w in sorted({*easy, *common, *hard})}, hard, seed)
 
-    for _ in range(ROUNDS):
+    for _ in range(ROUNDS if any(chosen) else 0):
         models = []
         for fold in (0, 1):
             seen = [words for i, words in enumerate(chosen) if i % 2 != fold]
@@ -301,11 +347,24 @@ def train(documents: list[tuple[str, int]], seed: int = 0) -> Model:
             for i in range(fold, len(strange), 2):
                 chosen[i] = [w for w in sorted(strange[i], key=lambda w: (-value[w], w))[:8] if value[w] > 0.2 and guess[w] >= EVIDENCE]
         if not any(chosen):
-            return plain
+            break
         worst = np.maximum(values(models[0], ordinary), values(models[1], ordinary))
         hard = list(dict.fromkeys([ordinary[i] for i in np.argsort(-worst, kind="stable")[:1_500]] + hard))[:5_000]
+    phrases = _phrases([text for text, words in zip(toxic_texts, chosen, strict=True) if not words], clean_texts)
+    if not any(chosen) and not phrases:
+        return plain
+    # Clean documents' joined words are told apart as their words are.
+    pieces = frozenset(w for w, n in known.items() if n >= 2 and len(w) <= PIECE)
+    halves = frozenset(w for pair in phrases for w in pair)
+    for text in clean_texts:
+        joins.update(joined(text, pieces, halves) - known.keys())
+    strings = sorted(joins)
+    worst = values(machine(chosen), strings)
+    hard = list(dict.fromkeys(hard + [strings[i] for i in np.argsort(-worst, kind="stable")[:1_500]]))  # words stay the landmarks
     model = machine(chosen, variants=True)
+    model.common, model.halves = pieces, halves
     # The logistic function: on documents kept out, and those trained on where they are too few.
+    bags = [((*b, *joined(text, pieces, halves)), y) for (text, _), (b, y) in zip(said, bags, strict=True)]
     calibration = [(b, y) for (b, y), h in zip(bags, held, strict=True) if h]
     if len({y for _, y in calibration}) < 2 or sum(y == 1 for _, y in calibration) < 5:
         calibration = bags
@@ -347,7 +406,7 @@ def sampled(docs: DataFrame, known: DataFrame, seed: int = 0) -> DataFrame:
     return docs.filter("text IS NOT NULL").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")
 
 
-TRAINED = "weights binary, bias double, slope double, offset double"
+TRAINED = "weights binary, bias double, slope double, offset double, common array<string>, halves array<string>"
 
 
 def _train_task(seed: int):
@@ -360,7 +419,7 @@ def _train_task(seed: int):
         m = train(documents, seed)
         documents.clear()
         give_back()
-        yield pa.RecordBatch.from_arrays([pa.array([m.weights.tobytes()], pa.binary()), pa.array([m.bias]), pa.array([m.slope]), pa.array([m.offset])], names=["weights", "bias", "slope", "offset"])
+        yield pa.RecordBatch.from_arrays([pa.array([m.weights.tobytes()], pa.binary()), pa.array([m.bias]), pa.array([m.slope]), pa.array([m.offset]), *[pa.array([sorted(w)], pa.list_(pa.string())) for w in (m.common, m.halves)]], names=["weights", "bias", "slope", "offset", "common", "halves"])
 
     return run
 
@@ -387,8 +446,27 @@ def _tops(model: Model, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     each = value[back]
     full = np.flatnonzero(words.of[1:] > words.of[:-1])
     out[full] = np.maximum.reduceat(each, words.of[full])
-    # Runs of at least three single letters, whatever without letters stands between them.
+    # Neighbouring words that are scored joined, whatever without letters stands between them.
     said = np.flatnonzero(np.array([len(found) > 0 for found in raw])[back])
+    of = np.searchsorted(words.of, said, side="right") - 1
+    alone = np.array([found[0] if len(found) == 1 else "" for found in raw], dtype=object)
+    size = np.array([len(w) for w in alone])
+    short, half = (size > 0) & (size <= PIECE), np.array([w in model.halves for w in alone], dtype=bool)
+    rare = short & ~np.array([w in model.common for w in alone], dtype=bool)
+    a, b = back[said[:-1]], back[said[1:]]
+    pair = np.flatnonzero((of[:-1] == of[1:]) & (size[a] > 0) & (size[b] > 0) & (short[a] & short[b] & (rare[a] | rare[b]) & (size[a] + size[b] >= 4) | half[a] | half[b]))
+    both, at = np.unique(a[pair].astype(np.int64) * len(raw) + b[pair], return_inverse=True)
+    for i in range(0, len(both), 50_000):
+        strings, owner = [], []
+        for j, code in enumerate(both[i : i + 50_000].tolist()):
+            for p in parts(alone[code // len(raw)] + alone[code % len(raw)]):
+                strings.append(p)
+                owner.append(j)
+        best = np.full(min(50_000, len(both) - i), -2.0)
+        np.maximum.at(best, owner, model.margins(strings))
+        here = np.flatnonzero((at >= i) & (at < i + 50_000))
+        np.maximum.at(out, of[pair[here]], best[at[here] - i])
+    # Runs of at least three single letters.
     single = np.array([len(found) == 1 and len(found[0]) == 1 for found in raw])[back][said]
     for doc in np.unique(np.searchsorted(words.of, said[np.flatnonzero(single[:-2] & single[1:-1] & single[2:])], side="right") - 1).tolist():
         a, b = words.of[doc], words.of[doc + 1]
@@ -435,4 +513,4 @@ def fitted(docs: DataFrame, labels: DataFrame, seed: int = 0) -> Model:
     row = sample.mapInArrow(_train_task(seed), TRAINED).first()
     if row is None:  # nothing to learn from
         return train([], seed)
-    return Model(np.frombuffer(row.weights, dtype=np.float32), row.bias, row.slope, row.offset)
+    return Model(np.frombuffer(row.weights, dtype=np.float32), row.bias, row.slope, row.offset, frozenset(row.common), frozenset(row.halves))

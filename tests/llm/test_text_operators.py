@@ -347,7 +347,42 @@ def test_toxicity_scores_all_of_a_string():
     assert all(model.probability(np.array(found)) >= 0.3) and model.probability(np.array([calm]))[0] < 0.3
     # Scores of a text are those of its strings, the slow way.
     said = "the er dimmwitted on. i d i o t numb-skull, 12 " + "anre" * 30
-    assert abs(tops(said)[0] - max(model.margins(sorted(toxicity.word_list(said))))) < 1e-9
+    assert abs(tops(said)[0] - max(model.margins(sorted(toxicity.word_list(said) | toxicity.joined(said, model.common, model.halves))))) < 1e-9
+
+
+def test_toxicity_reads_split_words(spark):
+    rng = np.random.default_rng(3)
+    model = toxicity.train(labelled(rng, 120, True) + labelled(rng, 400, False))
+    tops = lambda *said: [toxicity._tops(model, data, bounds) for _, data, bounds in texts(pa.array(said))][0]
+    found = tops("the er block head on", "on numb - skull re", "gasb aggy")
+    assert (model.probability(found) >= 0.3).all()
+    # Borders of documents aren't neighbours, nor are words apart.
+    assert (model.probability(tops("the er block", "head on the", "block er on head", "")) < 0.3).all()
+    test = labelled(rng, 300, False)
+    assert (model.probability(tops(*[t for t, _ in test])) >= 0.3).sum() <= 6
+
+
+def test_toxicity_learns_phrases(spark):
+    """Insults that only two neighbouring words make, each of which clean documents use as well."""
+    rng = np.random.default_rng(5)
+
+    def said(n, toxic):
+        out = []
+        for _ in range(n):
+            w = labelled(rng, 1, False)[0][0].split()
+            for x, at in zip(rng.permutation(["nobody", "misses", "empty", "vessel"]), rng.permutation(np.arange(5, 55, 5))[:4], strict=True):
+                w[at] = str(x)
+            if toxic:
+                w[30:32] = [["nobody", "misses"], ["empty", "vessel"]][rng.integers(2)]
+            out.append((" ".join(w), int(toxic)))
+        return out
+
+    model = toxicity.train(said(150, True) + said(400, False))
+    assert model.halves == {"nobody", "misses", "empty", "vessel"}
+    test = said(60, True) + said(200, False)
+    got = {r.doc_id: r for r in toxicity.scored(frame(spark, [(i, t) for i, (t, _) in enumerate(test)] + [(900, "er nobbody misses th"), (901, None), (902, "")]), model).collect()}
+    assert sum(got[i].predicted == y for i, (_, y) in enumerate(test)) >= 250
+    assert got[900].predicted == 1 and got[901].predicted == got[902].predicted == 0
 
 
 def subsequence_kernel(a, b):
