@@ -154,15 +154,13 @@ def representatives(found: DataFrame, frames: DataFrame, column: str = "thumb",
 def duplicate_shots(reps: DataFrame, side: int, tile: int, limit: float = DUPLICATE) -> DataFrame:
     """Shots like an earlier, not neighbouring one. reps: asset_id, index, start_s, end_s, thumb; at least three shots.
 
-    The self join is on the asset; its rows are the squares of the assets' shot counts, so one asset's shots bound it.
+    Shots without a picture match none; tiles with a pixel missing on either side aren't compared.
     """
+    from chronoloom.operators.likeness import likest_earlier
+
     n = F.count(F.lit(1)).over(Window.partitionBy("asset_id"))
-    reps = reps.withColumn("_n", n).filter("_n >= 3")
-    early = reps.select(F.col("asset_id").alias("_a"), F.col("index").alias("j"), F.col("start_s").alias("matched"), F.col("thumb").alias("other"))
-    pairs = reps.join(early, (F.col("asset_id") == F.col("_a")) & (F.col("j") <= F.col("index") - 2))
-    scored = pairs.withColumn("tile_delta", F.array_max(deltas(F.col("thumb"), F.col("other"), side, tile)))
-    best = scored.groupBy("asset_id", "index", "start_s", "end_s").agg(F.min(F.struct("tile_delta", "j", "matched")).alias("b"))
-    return best.select("asset_id", F.col("start_s").alias("t"), F.lit("duplicate-shot").alias("kind"), F.lit("medium").alias("severity"), "start_s", "end_s", F.col("b.matched").alias("matched"), F.col("b.tile_delta").alias("tile_delta")).filter(F.col("tile_delta") <= limit)
+    best = likest_earlier(reps.withColumn("_n", n).filter("_n >= 3"), side, tile, limit)
+    return best.select("asset_id", F.col("start_s").alias("t"), F.lit("duplicate-shot").alias("kind"), F.lit("medium").alias("severity"), "start_s", "end_s", "matched", "tile_delta")
 
 
 def located(hits: list[DataFrame]) -> DataFrame:
