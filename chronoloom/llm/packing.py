@@ -8,6 +8,7 @@ arrives: memory is the bitset and the open bins, whatever the number of pieces.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -63,6 +64,15 @@ class BestFit:
 _ENCODERS: dict[str, Callable[[str], list[int]]] = {}
 
 
+@functools.cache
+def _whole(name: str):
+    """The tokenizers library's own tokenizer. It takes more memory than all else in a worker: most need none."""
+    import public_tokenizers as known
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(known.path(name))
+
+
 def encoder(name: str) -> Callable[[str], list[int]]:
     """text -> the ids that the tokenizers library gives with the vocabulary's .json file, add_special_tokens=False.
 
@@ -72,17 +82,17 @@ def encoder(name: str) -> Callable[[str], list[int]]:
     """
     if name not in _ENCODERS:
         import base64
+        import json
 
         import public_tokenizers as known
         import tiktoken
-        from tokenizers import Tokenizer
 
+        with open(known.path(name), encoding="utf-8") as file:
+            control = [t["content"] for t in json.load(file)["added_tokens"]]
         with open(known.path(name.removesuffix(".json") + ".tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         plain = tiktoken.Encoding("own", pat_str=known.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        whole = Tokenizer.from_file(known.path(name))
-        control = [t.content for t in whole.get_added_tokens_decoder().values()]
-        _ENCODERS[name] = lambda text: whole.encode(text, add_special_tokens=False).ids if any(c in text for c in control) else plain(text)
+        _ENCODERS[name] = lambda text: _whole(name).encode(text, add_special_tokens=False).ids if any(c in text for c in control) else plain(text)
     return _ENCODERS[name]
 
 

@@ -2,8 +2,11 @@
 
 import hashlib
 import re
+import subprocess
+import sys
 import zlib
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -68,6 +71,17 @@ def test_packing_ids_are_those_of_the_tokenizer(spark):
         assert all(r.length == 2048 for r in own[1:])
 
 
+def test_packing_loads_the_tokenizers_library_for_control_strings_only():
+    code = (
+        "import sys\n"
+        "from chronoloom.llm import packing\n"
+        "encode = packing.encoder('byte_bpe_50k.json')\n"
+        "assert encode('a b') and 'tokenizers' not in sys.modules\n"
+        "assert encode('a <|endoftext|> b') == [64, 220, 50256, 275] and 'tokenizers' in sys.modules\n"
+    )
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[2], check=True)
+
+
 def test_packing_is_gapless_and_tight(spark):
     docs = frame(spark, [(i, "word " * (37 * i % 900)) for i in range(400)])
     rows = packing.pack(docs).collect()
