@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm._shared import SENT_IDS, cut, dropped, stored, without
+from chronoloom.llm._shared import SENT_IDS, cut, dropped, few, stored, without
 from chronoloom.llm._text import U, give_back, mix, shingle_sets
 
 K = 5
@@ -300,9 +300,9 @@ def _starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
-def _picked(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts whose doc_id is among ids (a column called rep), picked before any shuffle where ids are few enough to send."""
-    ids = cut(ids.select(F.col("rep").alias("_id")).distinct())
+def _picked(texts: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """The texts whose doc_id is among ids (a column called rep, some n rows), picked before any shuffle where ids are few enough to send."""
+    ids = cut(few(ids.select(F.col("rep").alias("_id")).distinct(), n))
     return texts.join(_sent(ids), F.col("doc_id") == F.col("_id"), "left_semi")
 
 
@@ -325,31 +325,31 @@ def _near_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.select(["pivot", "rep"]).filter(pa.array(near))
 
 
-def _met(pairs: DataFrame, about: DataFrame, compared) -> DataFrame:
-    """The pairs (pivot, rep) that compared() keeps. about: rep and what is compared.
+def _met(pairs: DataFrame, about: DataFrame, compared, n: int) -> DataFrame:
+    """The pairs (pivot, rep), some n, that compared() keeps. about: rep and what is compared.
 
     A pivot with many members meets them in parts of PART, each in the order pivot, members: what is known of a
     pivot is sent once for each part and never beside every member.
     """
     columns = [c for c in about.columns if c != "rep"]
-    parts = _sent(cut(pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts"))))
+    parts = _sent(cut(few(pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts")), n)))
     members = pairs.join(parts, "pivot").join(about, "rep").select("pivot", F.pmod(F.xxhash64("rep"), "parts").alias("part"), F.lit(False).alias("first"), "rep", *columns)
     heads = parts.join(about.withColumnRenamed("rep", "pivot"), "pivot").select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(True).alias("first"), F.col("pivot").alias("rep"), *columns)
     rows = heads.unionByName(members).repartition("pivot", "part").sortWithinPartitions("pivot", "part", F.desc("first"), "rep")
-    return cut(rows.mapInArrow(compared, "pivot long, rep long"))
+    return few(cut(rows.mapInArrow(compared, "pivot long, rep long")), n)
 
 
-def _settle(big: DataFrame, reps: DataFrame, texts: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
-    """Compares the pivot of each large node with its members: (verified links, the other rows with their labels)."""
-    pivots = cut(big.groupBy("key").agg(F.min_by("rep", F.struct(F.col("label") != F.col("rep"), F.xxhash64(F.lit(level), "rep"), "rep")).alias("pivot")))
+def _settle(big: DataFrame, reps: DataFrame, texts: DataFrame, level: int, n: int) -> tuple[DataFrame, DataFrame]:
+    """Compares the pivot of each large node with its members: (verified links, the other rows with their labels). big has some n rows."""
+    pivots = cut(few(big.groupBy("key").agg(F.min_by("rep", F.struct(F.col("label") != F.col("rep"), F.xxhash64(F.lit(level), "rep"), "rep")).alias("pivot")), n))
     rows = big.join(_sent(pivots), "key")
-    pairs = cut(rows.filter("rep <> pivot AND label <> pivot").select("pivot", "rep").distinct())
-    near = _met(pairs, reps.select("rep", "n_shingles", "sig"), _near_pivot)
-    said = _picked(texts, near.select("rep").unionByName(near.select(F.col("pivot").alias("rep"))))
-    linked = _met(near, _one_each(said), _starred)
+    pairs = cut(few(rows.filter("rep <> pivot AND label <> pivot").select("pivot", "rep").distinct(), n))
+    near = _met(pairs, reps.select("rep", "n_shingles", "sig"), _near_pivot, n)
+    said = _picked(texts, near.select("rep").unionByName(near.select(F.col("pivot").alias("rep"))), n)
+    linked = _met(near, _one_each(said), _starred, n)
     rest = rows.filter("rep <> pivot").join(linked.withColumn("hit", F.lit(True)), ["pivot", "rep"], "left")
     rest = rest.select("key", "rep", F.when(F.col("hit"), F.col("pivot")).otherwise(F.col("label")).alias("label"), "octets")
-    return linked.select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")), cut(rest)
+    return linked.select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")), cut(few(rest, n))
 
 
 def _one_each(texts: DataFrame) -> DataFrame:
@@ -360,23 +360,24 @@ def verified_links(reps: DataFrame, texts: DataFrame, leaf: int = LEAF, leaf_byt
     """A spanning set of the links between classes: (a, b). reps: stored rep, n_shingles, sig, octets; texts: doc_id, text."""
     rows = reps.select("rep", "sig", "octets").mapInArrow(_rooted, NODE)
     leaves, found, paths, level = [], [], [], 0
+    n = len(_ORDER) * reps.count() * 5 // 4  # rows of a level: some more may come, as nodes have 1.25 children on average
     while True:
         rows, path = stored(rows, f"level{level}")
         # A node of one class or of one label is done.
         sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("l1"), F.max("label").alias("l2"), F.sum("octets").alias("size")).filter("n > 1 AND l1 <> l2")
-        sizes = cut(sizes.select("key", ((F.col("n") > leaf) | (F.col("size") > leaf_bytes)).alias("large")))
+        sizes = cut(few(sizes.select("key", ((F.col("n") > leaf) | (F.col("size") > leaf_bytes)).alias("large")), n))
         large = sizes.filter("large").select("key")
         n_large = large.count()
         large = F.broadcast(large) if n_large <= SENT_IDS else large
         # Rows of large nodes, which may be most, are not shuffled by their node.
         others = rows.join(large, "key", "left_anti") if n_large else rows
-        nodes, kept = stored(others.join(sizes.filter("NOT large").select("key"), "key").select("key", "rep", "label"), f"nodes{level}")
+        nodes, kept = stored(others.join(sizes.filter("NOT large").select("key"), "key").select("key", "rep", "label").transform(few, n), f"nodes{level}")
         paths.append(kept)
         leaves.append(nodes)
         if not n_large:
             dropped(rows.sparkSession, path)
             break
-        sure, rest = _settle(rows.join(large, "key", "left_semi"), reps, texts, level)
+        sure, rest = _settle(rows.join(large, "key", "left_semi"), reps, texts, level, n)
         dropped(rows.sparkSession, path)
         found.append(sure)
         level += 1
@@ -389,35 +390,37 @@ def verified_links(reps: DataFrame, texts: DataFrame, leaf: int = LEAF, leaf_byt
     groups, path = stored(groups.groupBy("name").agg(F.min("members").alias("members")), "groups")
     paths.append(path)
     members = groups.select("name", F.explode("members").alias("rep"))
-    full = members.join(_one_each(_picked(texts, members)), "rep").select("name", "rep", "text")
+    full = members.join(_one_each(_picked(texts, members, n)), "rep").select("name", "rep", "text")
     edges = full.repartition("name").sortWithinPartitions("name", "rep").mapInArrow(_verified, "a long, b long")
     for more in found:
         edges = edges.unionByName(more)
     return edges.distinct(), paths
 
 
-def _with_least(both: DataFrame) -> DataFrame:
-    """both (a, b) and m, the least of a and its neighbours b. That of a node with many edges is sent to them."""
-    least = cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), (F.count(F.lit(1)) > HEAVY).alias("heavy")))
+def _with_least(both: DataFrame, rows: int) -> DataFrame:
+    """both (a, b) and m, the least of a and its neighbours b. That of a node with many edges is sent to them. rows: of both, at most."""
+    least = cut(few(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), (F.count(F.lit(1)) > HEAVY).alias("heavy")), rows))
     heavy = least.filter("heavy").select("a", "m")
     n = heavy.count()
     if n == 0 or n > SENT_IDS:
-        return both.join(least.select("a", "m"), "a")
+        return few(both.join(least.select("a", "m"), "a"), rows)
     light = both.join(F.broadcast(heavy.select("a")), "a", "left_anti").join(least.filter("NOT heavy").select("a", "m"), "a")
-    return light.unionByName(both.join(F.broadcast(heavy), "a"))
+    return few(light.unionByName(both.join(F.broadcast(heavy), "a")), rows)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node that each end of an edge reaches, by large-star and small-star rounds."""
     edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    n, before = edges.count(), None
+    edges = few(edges, n)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = cut(_with_least(both).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct())
-        down = _with_least(large).select("a", "b", "m")  # here all b are below a
+        large = cut(few(_with_least(both, 2 * n).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), n))
+        down = _with_least(large, n).select("a", "b", "m")  # here all b are below a
         small = down.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b")))
-        edges = cut(small.distinct())
+        edges = cut(few(small.distinct(), 2 * n))
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        n = now[0]
         if before is not None and tuple(now) == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         before = tuple(now)
@@ -435,7 +438,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     all_rows, signs = stored(signed(docs, "doc_id", "text"), "signed")
     classes = all_rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    classes, named = stored(classes, "classes")
+    classes, named = stored(few(classes, all_rows.count()), "classes")
     own = classes.select("rep", F.col("h1").alias("r1"), F.col("h2").alias("r2"))
     reps = all_rows.join(own, (F.col("doc_id") == F.col("rep")) & (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2"))).select("rep", "n_shingles", "sig", "octets").dropDuplicates(["rep"])
     reps, at = stored(reps, "reps")

@@ -36,7 +36,7 @@ from math import gcd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm._shared import cut, fresh
+from chronoloom.llm._shared import cut, few, fresh
 
 INLINE = 500  # exceptions that are written into the plan; more are joined
 ATTEMPTS = 8  # surrogates of an entity's own length that are tried
@@ -355,9 +355,10 @@ def inventory(docs: DataFrame, text: str = "text") -> DataFrame:
 def exceptions(known: DataFrame, key: str) -> DataFrame:
     """The units whose first surrogate collides: kind, form, attempt (from 1). known: a stored inventory."""
     known = cut(known.select(F.explode(units(F.col("kind"), F.col("form"))).alias("u")).select("u.*").distinct())
-    taken = known.select(F.col("kind").alias("k"), F.col("form").alias("s"))
+    n = known.count()
+    taken = few(known.select(F.col("kind").alias("k"), F.col("form").alias("s")), n)
     new = unit_surrogate(F.col("kind"), F.col("form"), F.col("attempt"), key)  # built once, which takes longer than a round
-    settled = cut(known.withColumn("attempt", F.lit(0)).withColumn("new", new))
+    settled = few(cut(known.withColumn("attempt", F.lit(0)).withColumn("new", new)), n)  # worked out in all tasks, read in few
     attempt = 0
     while True:
         # Of those that share a surrogate the earliest attempt, then the least form, keeps it; a corpus entity is no surrogate.
@@ -368,12 +369,12 @@ def exceptions(known: DataFrame, key: str) -> DataFrame:
             .filter((F.col("best.form") != F.col("form")) | (F.col("best.attempt") != F.col("attempt")))
             .select("kind", "form")
         )
-        again = cut(lost.unionByName(real).distinct())
+        again = cut(few(lost.unionByName(real).distinct(), n))
         if again.isEmpty():
             return settled.filter("attempt > 0").select("kind", "form", "attempt")
         attempt += 1
         moved = again.withColumn("attempt", F.lit(attempt)).withColumn("new", new)
-        settled = cut(settled.join(again, ["kind", "form"], "left_anti").unionByName(moved))
+        settled = cut(few(settled.join(again, ["kind", "form"], "left_anti"), n).unionByName(moved))
 
 
 def _rewritten(text: Column, found: Column, attempts: Column | None, key: str) -> Column:

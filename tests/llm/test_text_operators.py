@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from chronoloom.llm import decontam, neardup, packing, toxicity
+from chronoloom.llm import decontam, neardup, packing, pii, toxicity
 from chronoloom.llm._shared import without
 from chronoloom.llm._text import ALNUM, NOT_SPACE, Words, shingle_sets, texts
 
@@ -314,6 +314,33 @@ def test_components_of_a_long_chain(spark):
     assert all(got[i] == 0 for i in range(1, 61)) and got[101] == 100
 
 
+def _tasks(spark, group, run):
+    """What run() gives, and the tasks that its jobs took."""
+    spark.sparkContext.setJobGroup(group, group)
+    out, told = run(), spark.sparkContext.statusTracker()
+    stages = {s for j in told.getJobIdsForGroup(group) for s in told.getJobInfo(j).stageIds}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, sum(told.getStageInfo(s).numCompletedTasks for s in stages if told.getStageInfo(s))
+
+
+def test_tables_of_few_rows_take_few_tasks(spark):
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        edges = spark.createDataFrame([(i, i + 1) for i in range(0, 300) if i % 3], "a long, b long")
+        got, n = _tasks(spark, "components", lambda: {r.node: r.component for r in neardup.components(edges).collect()})
+        assert got == {i: 3 * ((i - 1) // 3) + 1 for i in range(1, 301) if i % 3 != 1}
+        assert n < 1000  # former code: 3,082
+        known = spark.createDataFrame([("ip", f"10.0.0.{i}", 1) for i in range(200)], "kind string, form string, n long")
+        _, n = _tasks(spark, "exceptions", lambda: pii.exceptions(known, "k").collect())
+        assert n < 600  # former code: 709
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_shingles_of_a_long_text_are_whole():
     said = " ".join(str(i) for i in range(400_000))
     assert len(next(shingle_sets(pa.array([said])))[1]) == 399_996
